@@ -15,6 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_root: dict[str, str] = {}
 
 
@@ -25,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if sc.applicationId not in _local_root:
+    if sc.applicationId not in _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_local_root:
         _local_root[sc.applicationId] = tempfile.mkdtemp(prefix="inkwell-")
     return "file://" + _local_root[sc.applicationId]
 
@@ -52,6 +54,11 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and return the table read back with the same schema."""
-        path = self.path(name)
-        df.write.parquet(path)
+        path, conf = self.path(name), self.spark.conf
+        before = conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")  # the step's shuffle files go with the step
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
