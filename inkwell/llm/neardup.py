@@ -11,9 +11,12 @@
 4. Pairs whose jointly estimated similarity (maximum likelihood over the counts of greater,
    smaller and equal registers, given both set sizes) is far below the threshold go.
 5. The rest are confirmed on their full sets; links give components.
-6. Buckets that still hold several components pair every member outside the largest component
-   with all members of other components; these pairs pass through 4 and 5.  So every pair that
-   shares a band is either in one component already or tested, and no bucket is capped.
+6. Buckets that still hold several components compare every member outside the largest component
+   with all members of other components.  Their documents get one finer sketch: ``FINE`` registers
+   of which one hashed bit is kept, packed into long columns, so the join's own condition counts
+   differing bits and only pairs within 4.5 standard errors of the threshold leave it, each in the
+   first band it shares.  Those pass through 4 and 5.  So every pair that shares a band is in one
+   component already, tested, or ruled out by its sketch, and no bucket is capped.
 
 At similarity 0.75 a link shares no band with probability below 3e-6 (128 registers, 32 bands).
 
@@ -41,11 +44,15 @@ REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 BASE, RATE = 1.1, 20.0
 SLACK = 0.2  # five standard errors of the estimate at the threshold
+FINE = 2048
+WORDS = FINE // 64
+_OFF = (1 - NUM / DEN) / 2  # share of one-bit registers that differ at the threshold
+FINE_LIMIT = int(FINE * _OFF + 4.5 * (FINE * _OFF * (1 - _OFF)) ** 0.5)
 _GOLD = 0x9E3779B97F4A7C15
 
 
-def registers(g: np.ndarray, bounds: np.ndarray, m: int = REGISTERS) -> np.ndarray:
-    """SetSketch registers (rows x m, uint8) of the hash sets g[bounds[r]:bounds[r+1]].
+def minima(g: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
+    """The m exponential minima (rows x m) of the hash sets g[bounds[r]:bounds[r+1]].
 
     Elements leave as soon as their next exponential cannot lower any register of their row.
     """
@@ -64,8 +71,12 @@ def registers(g: np.ndarray, bounds: np.ndarray, m: int = REGISTERS) -> np.ndarr
             x, row, seed, at, step = x[live], row[live], seed[live], at[live], step[live]
         if not len(x):
             break
-    with np.errstate(divide="ignore"):
-        k = np.floor(1.0 - np.log(h.reshape(rows, m) / RATE) / np.log(BASE))
+    return h.reshape(rows, m)
+
+
+def registers(g: np.ndarray, bounds: np.ndarray, m: int = REGISTERS) -> np.ndarray:
+    """SetSketch registers (rows x m, uint8): truncated minima on an exponential scale."""
+    k = np.floor(1.0 - np.log(minima(g, bounds, m) / RATE) / np.log(BASE))
     return np.clip(np.where(np.isfinite(k), k, 0), 0, 255).astype(np.uint8)
 
 
@@ -105,6 +116,14 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, w in word_slices(batch.column("text"), lower=True, target=1 << 18):
+            h = minima(*shingle_sets(w, SHINGLE), FINE)
+            packed = np.packbits((mix(h.view(np.uint64)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(a, b - a), *[pa.array(packed[:, i]) for i in range(WORDS)]], names=["rep", *[f"s{i}" for i in range(WORDS)]])
+
+
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -146,21 +165,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     reps = ws.save(
         sig.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("regs").alias("regs")), "reps"
     )
-    bands = reps.select("rep", "n", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {ROWS} + 1, {ROWS})))")).alias("key"))
+    keys = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {ROWS} + 1, {ROWS})))")
+    bands = reps.select("rep", "n", F.posexplode(keys).alias("band", "key"))
     buckets = ws.save(bands.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("k")).where("k > 1"), "buckets")
     first = ws.save(bands.join(buckets, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
     _, links = _check(ws, first, reps, docs)
     comp = ws.save(connected_components(ws, links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
     members = bands.join(buckets.where("k > 2").select("key"), "key").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    members = ws.save(members.select("key", "rep", "n", F.coalesce("component", "rep").alias("c")), "members")
+    members = ws.save(members.select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("c")), "members")
     mixed = members.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("main"), F.count("*").alias("cs")).where("cs > 1")
     mixed = ws.save(mixed.select("key", F.col("main.c").alias("main")), "mixed")
     rest = ws.save(members.join(mixed, "key"), "rest")
-    x = rest.where("c <> main").select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-    y = rest.select("key", F.col("rep").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
-    cross = x.join(y, "key").where(f"cx <> cy and least(nx, ny) * {DEN} >= greatest(nx, ny) * {NUM}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    cross = ws.save(cross.join(first, ["a", "b"], "left_anti"), "cross")
+    wanted = ws.save(rest.select("rep").distinct(), "wanted")
+    fine = wanted.join(docs.withColumnRenamed("doc_id", "rep"), "rep").mapInArrow(_bits, "rep long, " + ", ".join(f"s{i} long" for i in range(WORDS)))
+    fine = ws.save(fine.dropDuplicates(["rep"]), "fine")
+    side = rest.join(fine, "rep").join(reps.select("rep", keys.alias("keys")), "rep")
+    x = side.where("c <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in side.columns if c != "key"])
+    y = side.select("key", *[F.col(c).alias(f"y_{c}") for c in side.columns if c != "key"])
+    near = (
+        f"x_c <> y_c and (y_c = y_main or x_rep < y_rep) and least(x_n, y_n) * {DEN} >= greatest(x_n, y_n) * {NUM}"
+        + f" and {' + '.join(f'bit_count(x_s{i} ^ y_s{i})' for i in range(WORDS))} <= {FINE_LIMIT}"
+        + " and array_position(zip_with(x_keys, y_keys, (p, q) -> p = q), true) = x_band + 1"
+    )
+    cross = x.join(y, (x["key"] == y["key"]) & F.expr(near)).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
+    cross = ws.save(cross.distinct().join(first, ["a", "b"], "left_anti"), "cross")
     _, more = _check(ws, cross, reps, docs)
     edges = comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more.select("a", "b"))
     comp = ws.save(connected_components(ws, edges), "components")
