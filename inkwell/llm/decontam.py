@@ -161,5 +161,21 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, error_rate: fl
     return out if out is not None else spark.createDataFrame([], RESULT)
 
 
+def _keeper(items: list[tuple[int | None, str]], error_rate: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(items, error_rate)
+        for batch in batches:
+            yield batch.filter(pa.array([not matcher.find(normalise(t.as_py())) for t in batch.column("text")], pa.bool_()))
+
+    return run
+
+
+def clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
+    """The rows of ``docs`` in which no item is found; one narrow pass for each block of items."""
+    for block in blocks(items):
+        docs = docs.mapInArrow(_keeper(block, error_rate), docs.schema)
+    return docs
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

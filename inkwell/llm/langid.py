@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .textvec import buffers, slices
 
@@ -218,17 +218,23 @@ def _predictor(model: Model | None):
                 best = int(p.argmax())
                 langs.append(model.langs[best])
                 scores.append(float(p[best]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     return predict
 
 
+def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` (text and other columns, none named lang_pred or score) with lang_pred and score; a narrow pass."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(_predictor(model), schema)
+
+
 def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``docs``; trains on ``docs`` if no model is given."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = model or train(spark, docs, sample)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", held, "text").mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return annotate(docs.select("doc_id", held, "text"), model).drop("text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,8 +179,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rest = ws.save(members.join(mixed, "key"), "rest")
     wanted = ws.save(rest.select("rep").distinct(), "wanted")
     fine = wanted.join(docs.withColumnRenamed("doc_id", "rep"), "rep").mapInArrow(_bits, "rep long, " + ", ".join(f"s{i} long" for i in range(WORDS)))
-    fine = ws.save(fine.dropDuplicates(["rep"]), "fine")
-    side = rest.join(fine, "rep").join(reps.select("rep", keys.alias("keys")), "rep")
+    fine = ws.save(fine.dropDuplicates(["rep"]).join(reps.select("rep", keys.alias("keys")), "rep"), "fine")
+    side = ws.save(rest.join(fine, "rep"), "sides")
     x = side.where("c <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in side.columns if c != "key"])
     y = side.select("key", *[F.col(c).alias(f"y_{c}") for c in side.columns if c != "key"])
     near = (

@@ -147,6 +147,20 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> s
     return "".join(out) + text[last:]
 
 
+def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t if t is None or not f else redact(t, [(x["start"], x["end"]) for x in f]) for t, f in zip(batch.column("text").to_pylist(), batch.column("findings").to_pylist())]
+        out = batch.drop_columns(["findings"])
+        yield out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, ledger_path: str, key: str = "doc_id") -> DataFrame:
+    """``docs`` with every found span of ``text`` replaced by a mark; rows that share a key are told apart by their blob."""
+    found = scan_versions(spark, docs.select(F.col(key).alias("path"), "text"), ledger_path).where("size(findings) > 0").dropDuplicates(["path", "blob"])
+    same = docs[key].eqNullSafe(found["path"]) & (F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256)) == found["blob"])
+    return docs.join(found, same, "left").select(*[docs[c] for c in docs.columns], "findings").mapInArrow(_redact, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ledger = Workspace(spark, "ledger").path("ledger")
