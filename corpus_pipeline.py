@@ -1,26 +1,67 @@
-"""The corpus pipeline: ordered stages over documents, each calling one operator of ``inkwell.llm``."""
+"""The corpus pipeline: ordered stages over documents, each calling one operator of ``inkwell.llm``.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.  All but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkwell.llm import neardup
+from inkwell.llm import decontam, langid, mixing, neardup, secrets
+from inkwell.llm.workspace import Workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MIN_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a recognised language: no letters, or a calibrated score under MIN_SCORE."""
+    docs = docs.select(COLUMNS)
+    labelled = langid.annotate(docs, langid.train(spark, docs))
+    return labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates."""
-    kept = neardup.near_duplicates(spark, docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """Keeps the smallest id of each group of near-duplicates, and one row of each id."""
+    docs = docs.select(COLUMNS)
+    kept = neardup.near_duplicates(spark, docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null")).select(COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item within its error budget."""
+    return decontam.clean(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the text by a mark; ``n_chars`` follows."""
+    clean = secrets.redacted(spark, docs.select(COLUMNS), Workspace(spark, "ledger").path("ledger"))
+    return clean.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix to target weights takes from each document."""
+    return mixing.Mix(spark, docs).taken()
+
 
+STAGES = [
+    ("language_id", language_id),
+    ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("source_mixing", mix),
+]
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+#: No stage can be stated in SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are a written table."""
+    ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(COLUMNS)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = ws.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
