@@ -21,7 +21,6 @@ empty table gives an empty result; other columns are ignored; texts are scanned
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -133,7 +132,11 @@ def _joined(findings, rules: tuple[Rule, ...]):
 def digest(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The per-document columns of a result of ``scan_versions``."""
     base = F.filter("findings", lambda x: x["rule"].isin([r.key for r in rules if r.base]))
-    counts = [F.size(F.filter("findings", lambda x, k=r.key: x["rule"] == k)).cast("long").alias(f"n_{r.kind}") for r in rules if r.base]
+
+    def count(rule: Rule):
+        return F.size(F.filter("findings", lambda x: x["rule"] == rule.key)).cast("long").alias(f"n_{rule.kind}")
+
+    counts = [count(r) for r in rules if r.base]
     return findings.select(F.col("path").alias("doc_id"), *counts, F.sha2(_joined(base, rules), 256).alias("base_sha256"), _joined(F.col("findings"), rules).alias("spans"))
 
 
@@ -165,7 +168,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ledger = Workspace(spark, "ledger").path("ledger")
     return digest(scan_versions(spark, docs.select(F.col("doc_id").alias("path"), "text"), ledger))
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -181,10 +181,10 @@ def write_warc(found: DataFrame, path: str, compression: str = "none") -> None:
 
     Each record is one element of a text file whose line feed is the record's last byte.
     """
-    value = F.concat(F.lit(f"{VERSION}\r\n"), F.col("headers"), F.lit("\r\n"), F.decode("block", F.lit("UTF-8")), F.lit("\r\n\r"))
+    value = F.concat(F.lit(f"{VERSION}\r\n"), F.col("headers"), F.lit("\r\n"), F.decode("block", "UTF-8"), F.lit("\r\n\r"))
     found.select(value.alias("value")).write.option("compression", compression).option("lineSep", "\n").text(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = derivatives(responses_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    return found.withColumn("block", F.decode("block", F.lit("UTF-8")))
+    return found.withColumn("block", F.decode("block", "UTF-8"))
