@@ -1 +1 @@
-
+"""Whole queries over the driver's tables, each with the SQL that states the same."""

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import queries_headers, queries_search, queries_text
+
+QUERIES = queries_text.QUERIES | queries_search.QUERIES | queries_headers.QUERIES
+ORACLES = queries_text.ORACLES | queries_search.ORACLES | queries_headers.ORACLES

@@ -1 +1 @@
-
+"""Incremental ingest as Structured Streaming."""
