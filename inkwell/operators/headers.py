@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as X
 
@@ -104,7 +104,10 @@ def inline_pieces(text: str) -> list[tuple[int, str]]:
     return out
 
 
-@F.pandas_udf("array<struct<offset:int,raw:string>>")
+_PIECES = T.ArrayType(T.StructType([T.StructField("offset", T.IntegerType()), T.StructField("raw", T.StringType())]))
+
+
+@F.pandas_udf(_PIECES)
 def _inline(texts: pd.Series) -> pd.Series:
     return pd.Series([[{"offset": a, "raw": r} for a, r in inline_pieces(t)] if t else [] for t in texts])
 
