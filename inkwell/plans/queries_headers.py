@@ -116,8 +116,8 @@ up, let = UP.replace("{0}", "text"), LET.replace("{0}", "text")
 NTOK = r"len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))"
 HEADERS = f"""{T.SERIES},
 hd AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, sentence_start, coalesce(ordinal, 0)) AS n, chunk_index % 5 = 0 AS rec, CASE WHEN chunk_index % 4 = 0 THEN 2 ELSE 1 END AS nc FROM series WHERE score >= 0.55),
-ck AS (SELECT user_id AS doc_id, 'k' || event_id AS chunk_id, event_id * 3 + event_id % 4 - 1 AS at, event_type FROM events),
-asg AS (SELECT ck.doc_id, ck.chunk_id, ck.at, ck.event_type, coalesce(arg_max(hd.n, hd.chunk_index) FILTER (WHERE hd.sentence_start <= ck.at), arg_min(hd.n, hd.chunk_index)) AS n FROM ck JOIN hd ON hd.doc_id = ck.doc_id GROUP BY 1, 2, 3, 4)"""
+ck AS (SELECT user_id AS doc_id, 'k' || event_id AS chunk_id, event_id * 3 + event_id % 4 - 1 AS pos, event_type FROM events),
+asg AS (SELECT ck.doc_id, ck.chunk_id, ck.pos, ck.event_type, coalesce(arg_max(hd.n, hd.chunk_index) FILTER (WHERE hd.sentence_start <= ck.pos), arg_min(hd.n, hd.chunk_index)) AS n FROM ck JOIN hd ON hd.doc_id = ck.doc_id GROUP BY 1, 2, 3, 4)"""
 SCORED = rf"""sh AS (SELECT *, CASE WHEN regexp_matches(text, '^\d') THEN 'numeric' WHEN regexp_matches(text, '(?i)^appendix\s+[a-z]') THEN 'appendix' WHEN regexp_matches(text, '^[A-Z]\d') THEN 'letter_numeric' END AS sch, {NTOK} AS tok FROM tx),
 co AS (SELECT *, round(CASE WHEN sch IS NOT NULL THEN 1.0 WHEN regexp_matches(text, '^\p{{L}}') THEN 0.45 ELSE 0.2 END::DOUBLE, 3) AS regex,
  round(least(1.0::DOUBLE, {up} / greatest({let}, 1) * 0.45::DOUBLE + 0.55::DOUBLE + CASE WHEN level = 1 THEN 0.1 ELSE 0.0 END::DOUBLE), 3) AS style,
@@ -143,9 +143,9 @@ pr AS (SELECT *, wk AND NOT has AND row_number() OVER (PARTITION BY doc_id, sect
 s AS (SELECT *, lead(ordinal) OVER (PARTITION BY doc_id, section_key ORDER BY coalesce(ordinal, 0), chunk_index) AS nx, min(ordinal) OVER (PARTITION BY doc_id, section_key) mn, max(ordinal) OVER (PARTITION BY doc_id, section_key) mx FROM pr WHERE st OR pro),
 w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, section_key, ordinal ORDER BY score DESC, chunk_index) rn FROM pr WHERE wk AND ordinal IS NOT NULL) WHERE rn = 1)
 SELECT doc_id, chunk_id, section_key, ordinal, score, pro AS recovered FROM s UNION ALL SELECT doc_id, chunk_id, section_key, ordinal, score, true FROM w WHERE EXISTS (SELECT 1 FROM s WHERE s.doc_id = w.doc_id AND s.section_key = w.section_key AND ((w.ordinal > s.ordinal AND w.ordinal < s.nx) OR w.ordinal < s.mn OR w.ordinal > s.mx))""",
-    "section_assign": f"WITH {HEADERS} SELECT doc_id, chunk_id, at AS sentence_start, doc_id || ':h' || n AS header_id FROM asg",
-    "section_text": f"WITH {HEADERS}, g AS (SELECT doc_id, n, count(*) c, string_agg(event_type, chr(10) || chr(10) ORDER BY at, chunk_id) t FROM asg GROUP BY 1, 2) SELECT hd.doc_id, hd.doc_id || ':s' || hd.n AS section_id, hd.doc_id || ':h' || hd.n AS header_id, CAST(coalesce(c, 0) AS INT) AS n_chunks, sha256(text || coalesce(chr(10) || chr(10) || t, '')) AS text_sha, level FROM hd LEFT JOIN g ON g.doc_id = hd.doc_id AND g.n = hd.n",
-    "section_map": f"WITH {HEADERS} SELECT asg.doc_id, asg.doc_id || ':s' || asg.n AS section_id, asg.doc_id || ':h' || asg.n AS header_id, asg.chunk_id, row_number() OVER (PARTITION BY asg.doc_id ORDER BY hd.sentence_start, hd.chunk_index, asg.at, asg.chunk_id) - 1 AS \"order\" FROM asg JOIN hd ON hd.doc_id = asg.doc_id AND hd.n = asg.n",
+    "section_assign": f"WITH {HEADERS} SELECT doc_id, chunk_id, pos AS sentence_start, doc_id || ':h' || n AS header_id FROM asg",
+    "section_text": f"WITH {HEADERS}, g AS (SELECT doc_id, n, count(*) c, string_agg(event_type, chr(10) || chr(10) ORDER BY pos, chunk_id) t FROM asg GROUP BY 1, 2) SELECT hd.doc_id, hd.doc_id || ':s' || hd.n AS section_id, hd.doc_id || ':h' || hd.n AS header_id, CAST(coalesce(c, 0) AS INT) AS n_chunks, sha256(text || coalesce(chr(10) || chr(10) || t, '')) AS text_sha, level FROM hd LEFT JOIN g ON g.doc_id = hd.doc_id AND g.n = hd.n",
+    "section_map": f"WITH {HEADERS} SELECT asg.doc_id, asg.doc_id || ':s' || asg.n AS section_id, asg.doc_id || ':h' || asg.n AS header_id, asg.chunk_id, row_number() OVER (PARTITION BY asg.doc_id ORDER BY hd.sentence_start, hd.chunk_index, asg.pos, asg.chunk_id) - 1 AS \"order\" FROM asg JOIN hd ON hd.doc_id = asg.doc_id AND hd.n = asg.n",
     "header_tree": f"WITH {HEADERS} SELECT a.doc_id, 'header:' || a.doc_id || ':' || a.n AS node_id, 'header:' || a.doc_id || ':' || max(b.n) AS parent_id, a.level FROM hd a LEFT JOIN hd b ON b.doc_id = a.doc_id AND b.n < a.n AND b.level < a.level GROUP BY a.doc_id, a.n, a.level",
     "header_components": f"WITH {HEADERS}, {T.TITLES}, tx AS (SELECT hd.doc_id, hd.n, hd.level, hd.nc, titles.text FROM hd JOIN titles ON titles.doc_id = hd.chunk_index), {SCORED} SELECT 'header:' || doc_id || ':' || n AS node_id, text, regex, style, entropy, graph, fluid, llm_vote, total, coalesce(sch, 'none') AS schema, CASE WHEN total < 0.5 THEN 'reject' WHEN total < 0.65 THEN 'promote.subheader' ELSE 'promote.header' END AS decision, nc > 1 AS joined FROM sc",
     "header_decision": f"WITH {T.SERIES} SELECT chunk_id, CASE WHEN score < 0.5 THEN 'reject' WHEN score < 0.65 THEN 'promote.subheader' ELSE 'promote.header' END AS decision FROM series",

@@ -30,15 +30,21 @@ def corpus_stats(spark, d):
     return search.corpus_stats(T.documents(spark, d)).withColumn("avgdl", F.round("avgdl", 6))
 
 
+def _vector(e, vec_id):
+    """The query vector, one row, as a literal."""
+    row = e.where(F.col("vec_id") == vec_id).select("embedding").first()
+    return F.array(*[F.lit(float(x)) for x in row.embedding])
+
+
 def dense_topk(spark, d):
     e = T.table(spark, d, "embeddings").select("vec_id", "embedding")
-    query = e.where("vec_id = 0").select("embedding").scalar()
+    query = _vector(e, 0)
     return search.top(search.dense(e, query), 20, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
 def payload_topk(spark, d):
     e = T.table(spark, d, "embeddings")
-    query = e.where("vec_id = 7").select("embedding").scalar()
+    query = _vector(e, 7)
     hits = search.top(search.dense(e, query), 10, "vec_id")
     return search.payload_hits(hits, e.where("label <> 3").select("vec_id", "label"), "vec_id").select("vec_id", F.round("score", 6).alias("score"), "label")
 

@@ -133,7 +133,8 @@ def upload_validation(spark, d):
     name = F.when(k % 11 == 0, "../a.pdf").when(k % 11 == 1, "http://x/a.pdf").when(k % 11 == 2, "  ").when(k % 11 == 3, "a.exe").when(k % 11 == 4, "dir.v2/a").when(k % 11 == 5, "A.PDF").when(k % 11 == 6, "notes.txt").when(k % 11 < 10, F.concat(k.cast("string"), F.lit(".pdf")))
     file_id = F.when(k % 13 == 0, "a b").when(k % 13 == 1, "").when(k % 13 == 2, " ").when(k % 13 < 6, F.concat(F.lit("f"), k.cast("string")))
     u = o.select(k.alias("upload_id"), file_id.alias("file_id"), name.alias("file_name"), F.when(k % 7 == 0, "b.doc").when(k % 7 == 1, "noext").alias("upload_filename"), F.when(k % 17 != 0, F.col("o_custkey") * 100000).alias("size_bytes"), (k % 5 == 0).alias("is_direct"))
-    u = u.withColumn("file_id", F.when((k % 10 == 0), None).otherwise(F.col("file_id"))).withColumn("file_name", F.when(k % 10 == 0, None).otherwise(F.col("file_name")))
+    tenth = F.col("upload_id") % 10 == 0
+    u = u.withColumns({c: F.when(~tenth, F.col(c)) for c in ("file_id", "file_name")})
     return ingest.validate(u).select("upload_id", F.coalesce("error", F.lit("ok")).alias("outcome"))
 
 

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def payloads(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, content, size_bytes, sha256 of files; the hash is computed where the bytes are read."""
+    """path, content, size_bytes, sha256 of files; the hash is computed where the bytes are read.
+
+    Spark lists no empty files, so an empty upload is absent rather than a row of size zero.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
