@@ -45,7 +45,8 @@ def myers(item: str, masks: dict[str, int], text: str, limit: int) -> tuple[int,
     """(distance, end) of the leftmost best match of the item in the text, if within the limit."""
     m = len(item)
     full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best, end = full, 0, m, limit + 1, -1
+    pv, mv, score = full, 0, m
+    best, end = (m, 0) if m <= limit else (limit + 1, -1)
     for j, c in enumerate(text):
         eq = masks.get(c, 0)
         xv = eq | mv

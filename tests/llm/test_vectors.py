@@ -60,7 +60,7 @@ def test_compare_stops_only_what_cannot_link():
     x = rng.normal(size=(300, 32)) * np.linspace(3, 0.1, 32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y = x @ vectors.principal_axes(x)
-    got = np.concatenate([links for _, links in vectors.compare(y, y, True)])
-    want = x @ x.T >= 0.9
+    got = np.concatenate([links for _, links in vectors.compare(y, y, True, 0.6)])
+    want = x @ x.T >= 0.6
     np.fill_diagonal(want, False)
     assert (got == want).all() and want.any()
