@@ -197,7 +197,7 @@ def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: f
         cells = order.select(F.col("at").alias("a"), F.explode(F.sequence("at", "last")).alias("b"))
         wanted = cells.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("at"))
         plan = wanted.join(order.select("tile", "at"), "at")
-        part = plan.join(tiles, "tile").select("a", "b", "tile", "ids", "weights", "y").groupBy("a", "b").applyInArrow(_pairs(threshold), "rep long, links long, root long")
+        part = plan.hint("merge").join(tiles, "tile").select("a", "b", "tile", "ids", "weights", "y").groupBy("a", "b").applyInArrow(_pairs(threshold), "rep long, links long, root long")
         found = ws.save(part, "found") if found is None else found.unionAll(ws.save(part, "found"))
     if found is None:
         found = spark.createDataFrame([], "rep long, links long, root long")
