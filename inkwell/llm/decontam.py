@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-A text is compared after lower-casing A-Z and joining its words (runs outside ``\\x20 \\x09-\\x0D``)
-by one space.  An item of n characters has an error budget of k = floor(n * ERROR_RATE) edits and is
+A text is compared in lower case, with its words (runs of letters and digits) joined by one space, so
+case, punctuation and layout cost no edits.  An item of n characters has an error budget of k = floor(n * ERROR_RATE) edits and is
 cut into k + 1 pieces.  If a stretch of a document lies within k edits of the item, at least one
 piece occurs there exactly and no more than k characters from its place.  All pieces of a block of
 items form one Aho-Corasick automaton; every hit opens a window of the document around it, windows
@@ -19,6 +19,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 ERROR_RATE = 0.05
 MIN_WORDS = 8
 BLOCK_CHARS = 8_000_000
+_BETWEEN = re.compile(r"[\W_]+")
 RESULT = "doc_id long, item_id long, distance long, budget long, start long, end long"
 
 
 def normalise(text: str | None) -> str:
-    return b" ".join((text or "").encode("utf-8", "replace").lower().split()).decode()
+    return _BETWEEN.sub(" ", (text or "").lower()).strip()
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:

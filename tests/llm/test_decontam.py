@@ -51,6 +51,12 @@ def test_equals_brute_force(spark, tiny):
     assert got == want and want
 
 
+def test_case_punctuation_and_layout_cost_nothing():
+    item = "Él dijo: la niña, nunca jamás, volvió a su casa de campo."
+    text = "x " + item.upper().replace(" ", "!!\n ") + " y"
+    assert decontam.Matcher([(7, decontam.normalise(item))]).find(decontam.normalise(text))[0][:2] == (7, 0)
+
+
 def test_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9"), (2, None), (3, "one two three"), (None, "W10 w11 w12 w13 w14 w15  w16 w17")], "item_id long, text string")
     got = sorted(((r.doc_id, r.item_id) for r in decontam.leaks(spark, odd, items).collect()), key=str)
