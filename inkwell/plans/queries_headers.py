@@ -127,7 +127,22 @@ co AS (SELECT *, round(CASE WHEN sch IS NOT NULL THEN 1.0 WHEN regexp_matches(te
  round(CASE WHEN regexp_matches(lower(text), 'introduction|summary|scope|background|appendix|results|conclusion') THEN 0.85 ELSE 0.65 END::DOUBLE, 3) AS llm_vote FROM sh),
 sc AS (SELECT *, round(regex + style + entropy + graph + fluid + llm_vote, 3) AS total FROM co)"""
 
+STITCH = """sr AS (SELECT *, event_id // 50 AS d, CASE WHEN event_id % 7 < 4 THEN 'A' ELSE 'B' END AS k, event_id // 14 AS o FROM (SELECT *, chunk_index AS event_id FROM series)),
+r AS (SELECT d, k, o, chunk_index AS ci, text, score, sentence_start AS ss, sentence_end AS se, row_number() OVER (PARTITION BY d ORDER BY chunk_index) AS i FROM sr),
+f AS (SELECT d, i, 1 AS island, k, o, ci, text, score, ss, se, 1 AS n FROM r WHERE i = 1
+ UNION ALL SELECT r.d, r.i, f.island + CASE WHEN j THEN 0 ELSE 1 END, r.k, r.o, r.ci, CASE WHEN j THEN trim(trim(f.text, ' -:' || chr(10)) || ' ' || trim(r.text, ' -:' || chr(10))) ELSE r.text END, CASE WHEN j THEN greatest(f.score, r.score) ELSE r.score END, CASE WHEN j THEN f.ss ELSE r.ss END, r.se, CASE WHEN j THEN f.n + 1 ELSE 1 END
+ FROM f JOIN r ON r.d = f.d AND r.i = f.i + 1, LATERAL (SELECT r.k = f.k AND r.o = f.o AND r.ci = f.ci + 1 AND (length(r.text) <= 40 OR regexp_matches(rtrim(f.text), '[-–:]$')) AS j))"""
+
 ORACLES = {
+    "header_stitch": f"WITH RECURSIVE {T.SERIES}, {STITCH} SELECT d AS doc_id, arg_max(ci, i) AS chunk_index, arg_max(k, i) AS section_key, arg_max(o, i) AS ordinal, arg_max(text, i) AS text, arg_max(score, i) AS score, arg_max(ss, i) AS sentence_start, arg_max(se, i) AS sentence_end, CAST(arg_max(n, i) AS INT) AS n_chunks FROM f GROUP BY d, island",
+    "header_trim": rf"""WITH {T.TITLES}, w AS (SELECT doc_id, list_filter(string_split_regex(' - ' || text || ' – and more words here', '\s+'), lambda x: x NOT IN ('', '-', '–')) a FROM titles) SELECT doc_id, array_to_string(a[1:CASE WHEN lower(a[1]) IN ('appendix', 'chapter', 'section') THEN 3 WHEN regexp_matches(a[1], '^[A-Z]?\d') THEN 2 ELSE 4 END], ' ') AS trimmed FROM w""",
+    "audit_documents": f"""WITH {HEADERS}, tx AS (SELECT * REPLACE (text || ' <&>' AS text) FROM hd), {SCORED}, e AS (SELECT *, text AS m, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS h, ' (score=' || total || ')' AS z, round(least(0.99::DOUBLE, total / 2.0::DOUBLE), 2) AS cf FROM sc),
+g AS (SELECT doc_id, count(*) n_h, count(*) FILTER (WHERE rec) n_r, string_agg('- L' || level || ' ' || m || z, chr(10) ORDER BY n) a1, string_agg('- ' || m || ' :: confidence ' || cf, chr(10) ORDER BY n) FILTER (WHERE rec) a2,
+ string_agg('<li>L' || level || ' ' || h || z || '</li>', '' ORDER BY n) b1, string_agg('<li>' || h || ' — confidence ' || cf || '</li>', '' ORDER BY n) FILTER (WHERE rec) b2, string_agg('    <testcase classname="headers" name="' || h || '" time="0"/>', chr(10) ORDER BY n) c1 FROM e GROUP BY 1),
+v AS (SELECT doc_id, 'md' AS kind, '# Parser Audit for ' || doc_id || chr(10) || chr(10) || 'Detected headers: ' || n_h || chr(10) || 'Recovered gaps: ' || n_r || chr(10) || chr(10) || '## Headers' || chr(10) || a1 || CASE WHEN n_r > 0 THEN chr(10) || chr(10) || '## Gap Repairs' || chr(10) || a2 ELSE '' END || chr(10) AS value FROM g
+ UNION ALL SELECT doc_id, 'html', '<html><head><title>Parser Audit for ' || doc_id || '</title></head><body><h1>Parser Audit for ' || doc_id || '</h1><section><h2>Detected Headers</h2><ul>' || b1 || '</ul></section>' || CASE WHEN n_r > 0 THEN '<section><h2>Gap Repairs</h2><ul>' || b2 || '</ul></section>' ELSE '' END || '</body></html>' FROM g
+ UNION ALL SELECT doc_id, 'xml', '<testsuite name="parser" tests="' || n_h || '" failures="0">' || chr(10) || c1 || chr(10) || '</testsuite>' || chr(10) FROM g)
+SELECT doc_id, kind, CAST(len(string_split(value, chr(10))) AS INT) AS n_lines, sha256(value) AS value_sha FROM v""",
     "header_base_score": rf"""WITH {T.TITLES} SELECT doc_id, text, round(least(0.95::DOUBLE, greatest(
 CASE WHEN regexp_matches(text, '(?i)^(?:appendix|chapter|section)\s+[A-Z\d]+(?:[\.\-][A-Z\d]+)*(?:\b|\s|:)') THEN 0.9 ELSE 0 END, CASE WHEN regexp_matches(text, '^\d+(?:\.\d+)+\s+') THEN 0.85 ELSE 0 END, CASE WHEN regexp_matches(text, '^\d+[\.)]\s+') THEN 0.72 ELSE 0 END,
 CASE WHEN regexp_matches(text, '(?i)^[A-Z]\d+(?:[\.\-]\d+)*\b') THEN 0.75 ELSE 0 END, CASE WHEN regexp_matches(text, '(?i)^(?:[IVXLCM]+\.)+\s+') THEN 0.7 ELSE 0 END, CASE WHEN regexp_matches(text, '(?i)^(executive summary|introduction|overview|conclusion)\b') THEN 0.62 ELSE 0 END,

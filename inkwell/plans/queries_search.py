@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import chunk, passes, search
 from . import tables as T
-from .queries_text import CHUNKS
+from .queries_text import CHUNKS, STRIP, WORDS
 
 QUERY = "The of and house the ou eau para der"
 WORD = r"list_filter(string_split_regex(lower({}), '\s+'), lambda w: w <> '')"
@@ -171,6 +171,13 @@ SELECT doc_id, round(0.5 * dense + 0.5 * sparse, 6) AS score, round(dense, 6) AS
     "graph_score": f"WITH {PASSAGES} SELECT doc_id, CASE WHEN coalesce(path, '') = '' THEN 0.5 ELSE round(1.0::DOUBLE / len(string_split(path, '/')) + 0.05::DOUBLE * len(string_split(path, '/')), 4) END::DOUBLE AS score FROM p",
     "pass_ranked": f"WITH RECURSIVE {RANKED} SELECT doc_id, domain, idx, round(dense_score, 4) AS dense_score, round(sparse_score, 4) AS sparse_score, round(flow_score, 4) AS flow_score, round(energy_score, 4) AS energy_score, graph_score, round(total_score, 3) AS total_score FROM ra",
     "pass_citations": f"WITH RECURSIVE {RANKED} SELECT doc_id, domain, rank, chunk_id, CAST(NULL AS VARCHAR) AS header_path, sentence_start, sentence_end FROM ra WHERE rank <= 3 AND doc_id % 5 = 0",
+    "pass_results": rf"""WITH RECURSIVE {RANKED}, u AS (SELECT doc_id, domain, rank, {STRIP.format('text')} AS body FROM ra WHERE {STRIP.format('text')} <> ''),
+w AS (SELECT *, len({WORDS.format('body')}) AS tk, sum(len({WORDS.format('body')})) OVER (PARTITION BY doc_id, domain ORDER BY rank) AS total, row_number() OVER (PARTITION BY doc_id, domain ORDER BY rank) AS place FROM u),
+x AS (SELECT doc_id, domain, string_agg(body, chr(10) || chr(10) ORDER BY rank) AS context FROM w WHERE place = 1 OR total <= 400 GROUP BY 1, 2), h AS (SELECT doc_id, domain, count(*) n FROM ra GROUP BY 1, 2),
+pr AS (SELECT unnest([{', '.join(f"{{'domain': '{k}', 'usr': '{u}'}}" for k, (_, u) in passes.PROMPTS.items())}], recursive := true)),
+y AS (SELECT doc_id, domain, n, context, list_filter(list_transform(string_split_regex(context, '\r\n|[\n\r\x0B\f]'), lambda s: {STRIP.format('s')}), lambda s: s <> '') AS l, {STRIP.format("usr || chr(10) || chr(10) || 'Context:' || chr(10) || context")} AS usr FROM x JOIN h USING (doc_id, domain) JOIN pr USING (domain)),
+z AS (SELECT *, usr || chr(10) || chr(10) || 'Answer: ' || array_to_string({WORDS.format("array_to_string(l[1:5], ' ')")}[1:1024], ' ') AS answer FROM y)
+SELECT doc_id, doc_id || ':' || replace(domain, '_', '-') AS pass_id, domain AS pass_name, CAST(least(n, 3) AS INT) AS n_citations, CAST(n AS INT) AS n_hits, CAST(len({WORDS.format('context')}) AS INT) AS prompt_tokens, CAST(len({WORDS.format('answer')}) AS INT) AS completion_tokens, sha256(answer) AS answer_sha FROM z""",
     "pass_manifest": "SELECT doc_id, p AS pass_name, 'artifacts/' || doc_id || '/passes/' || replace(p, '_', '-') || '.json' AS path FROM documents, (SELECT unnest(['mechanical', 'electrical', 'software', 'controls', 'project_mgmt']) AS p)",
     "context_window": rf"""WITH t AS (SELECT doc_id, source, lang, text, {WORD.format("coalesce(text, '')")} w FROM documents), st AS (SELECT count(*) n, sum(len(w)) / count(*) avgdl FROM t),
 q AS (SELECT unnest(['the', 'of']) term), tf AS (SELECT doc_id, len(w) dl, term, len(list_filter(w, lambda x: x = term)) tf FROM t, q), df AS (SELECT term, count(*) FILTER (WHERE tf > 0) df FROM tf GROUP BY 1),
