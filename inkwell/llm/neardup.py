@@ -46,6 +46,7 @@ BASE, RATE = 1.1, 20.0
 SLACK = 0.2  # five standard errors of the estimate at the threshold
 FINE = 2048
 WORDS = FINE // 64
+MERGE = 1 << 20
 _OFF = (1 - NUM / DEN) / 2  # share of one-bit registers that differ at the threshold
 FINE_LIMIT = int(FINE * _OFF + 4.5 * (FINE * _OFF * (1 - _OFF)) ** 0.5)
 _GOLD = 0x9E3779B97F4A7C15
@@ -58,19 +59,21 @@ def minima(g: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
     """
     rows = len(bounds) - 1
     h = np.full(rows * m, np.inf)
-    row = np.repeat(np.arange(rows), np.diff(bounds))
-    seed = mix(g ^ np.uint64(0x5851F42D4C957F2D))
-    at, step = (seed & np.uint64(m - 1)).astype(np.int64), ((seed >> np.uint64(20)).astype(np.int64) & (m - 1)) | 1
-    x = np.zeros(len(g))
-    for j in range(m):
-        u = ((mix(seed + np.uint64((j + 1) * _GOLD % 2**64)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-        x -= np.log(u) / (m - j)
-        np.minimum.at(h, row * m + ((at + j * step) & (m - 1)), x)
-        live = x < h.reshape(rows, m).max(axis=1)[row]
-        if not live.all():
-            x, row, seed, at, step = x[live], row[live], seed[live], at[live], step[live]
-        if not len(x):
-            break
+    owner = np.repeat(np.arange(rows), np.diff(bounds))
+    for a in range(0, len(g), MERGE):  # minima merge, so a large set needs no more memory than MERGE elements
+        row = owner[a : a + MERGE]
+        seed = mix(g[a : a + MERGE] ^ np.uint64(0x5851F42D4C957F2D))
+        at, step = (seed & np.uint64(m - 1)).astype(np.int64), ((seed >> np.uint64(20)).astype(np.int64) & (m - 1)) | 1
+        x = np.zeros(len(row))
+        for j in range(m):
+            u = ((mix(seed + np.uint64((j + 1) * _GOLD % 2**64)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+            x -= np.log(u) / (m - j)
+            np.minimum.at(h, row * m + ((at + j * step) & (m - 1)), x)
+            live = x < h.reshape(rows, m).max(axis=1)[row]
+            if not live.all():
+                x, row, seed, at, step = x[live], row[live], seed[live], at[live], step[live]
+            if not len(x):
+                break
     return h.reshape(rows, m)
 
 

@@ -115,6 +115,20 @@ def slices(offsets: np.ndarray, target: int = SLICE) -> Iterator[tuple[int, int]
         a = b
 
 
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word, in stretches of about SLICE bytes, so that a long text needs little beside itself."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE, "right")))
+        a, b = start[i:j] - start[i], end[i:j] - start[i]
+        up, down = _byte_powers.upto(int(b[-1]) + 1)
+        c = np.zeros(b[-1] + 1, np.uint64)
+        np.cumsum(_BYTE[data[start[i] : end[j - 1]]] * up[:-1], out=c[1:])
+        out[i:j] = mix((c[b] - c[a]) * down[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
+
+
 def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     if lower:
         data = _LOWER[data]
@@ -127,10 +141,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
         begins[1:] &= ~inside[:-1] | border[1:-1]
         ends[:-1] &= ~inside[1:] | border[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _byte_powers.upto(n + 1)
-    c = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=c[1:])
-    h = mix((c[end] - c[start]) * down[start] + (end - start).astype(np.uint64))
+    h = _word_hashes(data, start, end)
     first = np.searchsorted(start, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     return Words(data, offsets, start, end, row, h, first)

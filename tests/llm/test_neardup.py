@@ -72,3 +72,10 @@ def test_registers_merge_and_estimate():
         ra, rb, ru = (neardup.registers(x, np.array([0, len(x)])) for x in (a, b, pool))
         assert (np.maximum(ra, rb) == ru).all()
         assert abs(neardup.estimate(ra, rb, np.array([float(n)]), np.array([float(n)]))[0] - j) < 0.2
+
+
+def test_registers_do_not_depend_on_the_merge_size(monkeypatch):
+    g, bounds = np.random.default_rng(0).integers(0, 2**64, 5000, dtype=np.uint64), np.array([0, 0, 7, 3000, 5000])
+    whole = neardup.registers(g, bounds)
+    monkeypatch.setattr(neardup, "MERGE", 333)
+    assert (neardup.registers(g, bounds) == whole).all()

@@ -30,3 +30,11 @@ def test_hash_is_a_function_of_the_word_and_the_sequence():
     g, ok = w.ngrams(3)
     assert ok.all() and (g[:4] == g[6:10]).all() and len(np.unique(g[:6])) == 6
     assert (textvec.span_hash(w.hash, np.arange(10), np.arange(10) + 3) == g).all()
+
+
+def test_long_texts_hash_alike_in_any_stretch(monkeypatch):
+    text = " ".join(f"w{i % 997}" + "x" * (i % 50) for i in range(3000))
+    _, _, whole = next(textvec.word_slices(pa.array([text]), False))
+    monkeypatch.setattr(textvec, "SLICE", 100)
+    _, _, cut = next(textvec.word_slices(pa.array([text]), False, 1 << 20))
+    assert (whole.hash == cut.hash).all()
