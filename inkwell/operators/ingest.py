@@ -106,14 +106,22 @@ def checksums(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("sha256", F.sha2(c, 256)).withColumn("size_bytes", F.octet_length(c).cast("long"))
 
 
+HOT_ROWS, SALTS = 1_000_000, 64
+
+
 def dedupe_uploads(files: DataFrame, order: str = "doc_id") -> DataFrame:
     """doc_id, sha256, status, owner: the first upload of a checksum is new, later ones duplicate it.
 
-    The first is a combined minimum joined back, not a window, so that a hot checksum gathers nowhere.
+    The first is a combined minimum joined back.  Checksums of more than HOT_ROWS uploads, of which
+    there are at most rows / HOT_ROWS, are broadcast as a list and salted, so that no task gathers one.
     """
-    first = files.groupBy("sha256").agg(F.min(order).alias("owner"), F.min_by("size_bytes", order).alias("first_size"))
+    first = files.groupBy("sha256").agg(F.min(order).alias("owner"), F.min_by("size_bytes", order).alias("first_size"), F.count("*").alias("n"))
+    hot = F.broadcast(first.where(F.col("n") > HOT_ROWS).select("sha256", F.lit(True).alias("hot")))
+    salted = files.join(hot, "sha256", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(order), F.lit(SALTS))).otherwise(0))
+    spread = F.when(F.col("n") > HOT_ROWS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    first = first.select("sha256", "owner", "first_size", F.explode(spread).cast("long").alias("salt"))
     status = F.when(F.col(order) == F.col("owner"), "new").when(F.col("size_bytes") != F.col("first_size"), "collision").otherwise("duplicate")
-    return files.join(first, "sha256").select(F.col(order), "sha256", status.alias("status"), "owner")
+    return salted.join(first, ["sha256", "salt"]).select(F.col(order), "sha256", status.alias("status"), "owner")
 
 
 def unseen(files: DataFrame, index: DataFrame) -> DataFrame:

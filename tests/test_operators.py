@@ -200,6 +200,13 @@ def test_functions(spark):
     assert (r.e, r.m, r.f, r.s, r.x, r.mt, r.g) == (0.8, "Bearer abcd...ijkl", "A-b__c-.tar.GZ", "a-b", True, "application/pdf", 0.6) and set(r.z) == {0.0}
 
 
+def test_hot_checksums_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "HOT_ROWS", 5)
+    files = ingest.checksums(spark.createDataFrame([(i, "hot" if i % 3 else f"t{i}") for i in range(60)], "doc_id long, text string"), "text")
+    rows = ingest.dedupe_uploads(files).collect()
+    assert len(rows) == 60 and sum(r.status == "duplicate" for r in rows) == 39 and {r.owner for r in rows if r.status == "duplicate"} == {1}
+
+
 def test_upload_records(spark):
     files = ingest.checksums(spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None)], "doc_id long, text string"), "text")
     assert [(r.doc_id, r.status, r.owner) for r in ingest.dedupe_uploads(files).orderBy("doc_id").collect()] == [(1, "new", 1), (2, "duplicate", 1), (3, "new", 3), (4, "new", 4)]
