@@ -119,7 +119,7 @@ def dedupe_uploads(files: DataFrame, order: str = "doc_id") -> DataFrame:
     hot = F.broadcast(first.where(F.col("n") > HOT_ROWS).select("sha256", F.lit(True).alias("hot")))
     salted = files.join(hot, "sha256", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(order), F.lit(SALTS))).otherwise(0))
     spread = F.when(F.col("n") > HOT_ROWS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    first = first.select("sha256", "owner", "first_size", F.explode(spread).cast("long").alias("salt"))
+    first = first.select("sha256", "owner", "first_size", F.explode(spread).alias("salt")).withColumn("salt", F.col("salt").cast("long"))
     status = F.when(F.col(order) == F.col("owner"), "new").when(F.col("size_bytes") != F.col("first_size"), "collision").otherwise("duplicate")
     return salted.join(first, ["sha256", "salt"]).select(F.col(order), "sha256", status.alias("status"), "owner")
 
