@@ -11,7 +11,11 @@ document with a smaller id.  Candidates are windows repeated at 25 words alone:
    that whole context also starts in a smaller document, all of them repeat and the seed is
    settled; only the context's first document goes on.
 4. Level 50: for seeds still open, each window that picked it is hashed and compared.
-5. Removed words are the union of the settled and confirmed windows.
+5. Removed words are the union of the settled and confirmed windows.  Longer windows cannot add any:
+   a repeated window of more words consists of repeated 50-word windows.
+
+``repeat_levels`` goes on doubling from any length until no window survives, for the question how
+long the repeats of a corpus are.
 
 All comparisons are minimum aggregations by 64-bit hash followed by a join on a written table, so a
 passage that a third of the corpus shares is one combined row in the aggregate and a splittable
@@ -147,5 +151,49 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return docs.join(spans, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
+def _level(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows of ``length`` words whose two halves both survived; ``at`` null means every start."""
+        for batch in batches:
+            before = batch.column("at").to_pylist()
+            for a, b, w in word_slices(batch.column("text"), lower=False):
+                g, ok = w.ngrams(length)
+                for r in range(b - a):
+                    i, n = int(w.first[r]), int(w.first[r + 1] - w.first[r]) - length + 1
+                    if n <= 0:
+                        continue
+                    at = np.arange(n)
+                    if before[a + r] is not None:
+                        kept = np.array(before[a + r])
+                        at = np.intersect1d(kept, kept - length // 2)
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("doc_id")[a + r].as_py()] * len(at), pa.int64()), pa.array(g[i + at].view(np.int64)), pa.array(at.astype(np.int32))], names=["doc_id", "window", "at"])
+
+    return run
+
+
+def repeat_levels(spark: SparkSession, docs: DataFrame, first: int = WINDOW) -> DataFrame:
+    """doc_id, level, n: windows of ``first``, twice, four times ... words that occur in two documents or more.
+
+    Each level hashes only windows whose halves survived the level below, until none does.
+    """
+    ws = Workspace(spark, "levels")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    found, level = [], first
+    todo = docs.withColumn("at", F.lit(None).cast("array<int>"))
+    while True:
+        windows = ws.save(todo.mapInArrow(_level(level), "doc_id long, window long, at int"), "windows")
+        many = ws.save(windows.groupBy("window").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("window"), "many")
+        kept = ws.save(windows.join(many, "window").select("doc_id", "at"), "kept")
+        found.append(kept.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(level).alias("level"), "n"))
+        if not kept.head(1):
+            break
+        todo = docs.join(kept.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "doc_id")
+        level *= 2
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")

@@ -43,6 +43,26 @@ def test_shared_passages_and_runs(spark):
     assert result(substring.remove_repeats(spark, docs)) == brute(rows)
 
 
+def test_levels_double_until_none_survives(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 300, n)]
+    long, short = words(90), words(14)
+    rows = [(i, " ".join(words(9) + (long[: 30 + 6 * i] if i < 9 else []) + words(5) + (short if i % 2 else []) + words(4))) for i in range(14)]
+    got = {(r.doc_id, r.level): r.n for r in substring.repeat_levels(spark, spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()}
+    want = {}
+    for level in (10, 20, 40, 80):
+        where = {}
+        for i, t in rows:
+            w = t.split()
+            for p in range(len(w) - level + 1):
+                where.setdefault(tuple(w[p : p + level]), []).append(i)
+        for ids in where.values():
+            if len(set(ids)) > 1:
+                for i in ids:
+                    want[i, level] = want.get((i, level), 0) + 1
+    assert got == want and any(level == 40 for _, level in got)
+
+
 def test_odd_rows(spark, odd, none):
     got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(spark, odd).collect()), key=str)
     assert len(got) == 11 and (5, 60000, 0) in got and (6, 60000, 60000) in got and (0, 0, 0) in got and got.count((3, 3, 0)) == 2
