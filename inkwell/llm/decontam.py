@@ -19,6 +19,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ERROR_RATE = 0.05
 MIN_WORDS = 8
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 _BETWEEN = re.compile(r"[\W_]+")
 RESULT = "doc_id long, item_id long, distance long, budget long, start long, end long"
 
@@ -124,9 +125,15 @@ class Matcher:
         return out
 
 
-def _finder(items: list[tuple[int | None, str]], error_rate: float):
+@functools.lru_cache(maxsize=1)
+def _matcher(items: tuple[tuple[int | None, str], ...], error_rate: float) -> Matcher:
+    """One automaton per Python worker, kept over the worker's tasks."""
+    return Matcher(list(items), error_rate)
+
+
+def _finder(items: tuple[tuple[int | None, str], ...], error_rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, error_rate)
+        matcher = _matcher(items, error_rate)
         for batch in batches:
             rows = [(doc_id, *hit) for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")) for hit in matcher.find(normalise(text.as_py()))]
             columns = list(zip(*rows)) or [()] * 6
@@ -159,14 +166,14 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, error_rate: fl
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for block in blocks(items):
-        found = docs.mapInArrow(_finder(block, error_rate), RESULT)
+        found = docs.mapInArrow(_finder(tuple(block), error_rate), RESULT)
         out = found if out is None else out.unionAll(found)
     return out if out is not None else spark.createDataFrame([], RESULT)
 
 
-def _keeper(items: list[tuple[int | None, str]], error_rate: float):
+def _keeper(items: tuple[tuple[int | None, str], ...], error_rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, error_rate)
+        matcher = _matcher(items, error_rate)
         for batch in batches:
             yield batch.filter(pa.array([not matcher.find(normalise(t.as_py())) for t in batch.column("text")], pa.bool_()))
 
@@ -176,7 +183,7 @@ def _keeper(items: list[tuple[int | None, str]], error_rate: float):
 def clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """The rows of ``docs`` in which no item is found; one narrow pass for each block of items."""
     for block in blocks(items):
-        docs = docs.mapInArrow(_keeper(block, error_rate), docs.schema)
+        docs = docs.mapInArrow(_keeper(tuple(block), error_rate), docs.schema)
     return docs
 
 

@@ -11,7 +11,7 @@ blocks by (source, index).
 
 Stream offsets come from two-level prefix sums: documents fall into about sqrt(rows) hash chunks,
 so neither a hot source nor the number of documents makes a large window.  Only per-source totals
-reach the driver.
+reach the driver, and go out again as a broadcast of at most ``MAX_SOURCES`` rows.
 
 Edge cases: null text has size 0 and takes nothing; a null source is a source of its own, last in
 order; null ids and repeated rows are answered row by row; an empty table gives an empty result; a
@@ -36,6 +36,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 SEED = 17
 SHARD_SLOTS, MAX_SHARDS = 4096, 4096
+MAX_SOURCES = 1_000_000
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,6 +145,8 @@ class Mix:
         sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(_sizes, "doc_id long, source string, size long")
         sized = ws.save(sized, "sizes")
         found = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()  # one row per source
+        if len(found) > MAX_SOURCES:
+            raise ValueError(f"{len(found)} sources; their totals and shares are planned on the driver for up to {MAX_SOURCES}")
         found.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
         sizes = [r.n for r in found]
         want = targets(sizes, [weights[i % len(weights)] for i in range(len(found))])
