@@ -22,10 +22,12 @@ PATTERNS = [
 # fixed values: words and units
 KEYWORDS = ("appendix", "chapter", "section")
 UNITS = "hz khz mhz ghz db dba dbm vac vdc amp amps a v kv mw kw hp lb lbs kg g mm cm m in ft psi scfm rpm % °c °f".split()
-# fixed values: headers inside running text
-NUMBERED = r"[A-Z]?\d+(?:\.\d+)*(?:[\.)])?"
-LABELLED = r"(?:appendix|chapter|section)\s+[A-Z\d]+(?:[\.\-][A-Z\d]+)*"
-TAIL = r"\s+[A-Z][^\.\n;:]{0,60}"
+# fixed values: headers inside running text, and where a header starts
+INLINE = [
+    r"(?:appendix|chapter|section)\s+[A-Z\d]+(?:[\.\-][A-Z\d]+)*(?:\s+[A-Z][^\.\n;:]{0,60})?",
+    r"[A-Z]?\d+(?:\.\d+)*(?:[\.)])?\s+[A-Z][^\.\n;:]{0,60}",
+]
+START = r"(?:appendix|chapter|section)\s+[A-Z\d]+(?:[\.\-][A-Z\d]+)*|[A-Z]?\d+(?:\.\d+)*(?:[\.)])?(?=\s+[A-Z])"
 INLINE_MIN, WHOLE_MIN = 0.35, 0.25
 STRONG, WEAK = 0.55, 0.35
 
@@ -89,8 +91,8 @@ def trim_header(c: Column | str) -> Column:
     return F.when(F.size(parts) == 0, X.strip(c)).otherwise(F.array_join(F.slice(parts, F.lit(1), limit), " "))
 
 
-_FINDERS = [re.compile(f"{LABELLED}(?:{TAIL})?", re.IGNORECASE), re.compile(NUMBERED + TAIL, re.IGNORECASE)]
-_STARTS = re.compile(rf"{LABELLED}|{NUMBERED}(?=\s+[A-Z])", re.IGNORECASE)
+_FINDERS = [re.compile(p, re.IGNORECASE) for p in INLINE]
+_STARTS = re.compile(START, re.IGNORECASE)
 
 
 def inline_pieces(text: str) -> list[tuple[int, str]]:
