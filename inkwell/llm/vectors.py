@@ -29,13 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import connected_components
 from .workspace import Workspace
 
 THRESHOLD = 0.9
-TILE, BLOCK = 4096, 1024
+TILE, BLOCK = 8192, 1024
 LEADING = (0.25, 0.5)  # shares of the dimensions after which the bound is taken
 SAMPLE = 20_000
 _EPS = 1e-4  # above the rounding of single-precision products of unit vectors
@@ -43,21 +44,25 @@ _EPS = 1e-4  # above the rounding of single-precision products of unit vectors
 
 def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, units, keys, dims = [], [], [], []
-        for vec_id, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist()):
-            ok = vec_id is not None and bool(v) and None not in v
-            if ok:
-                x = np.array(v, np.float64)
-                top = np.abs(x).max()
-                ok = bool(np.isfinite(top)) and top > 0
-            if ok:
+        lists = batch.column("embedding")
+        bounds = lists.offsets.to_numpy()
+        values = np.asarray(lists.values.to_numpy(zero_copy_only=False), np.float64)  # a null component reads as NaN
+        usable = (pc.is_valid(lists).to_numpy(zero_copy_only=False)) & pc.is_valid(batch.column("vec_id")).to_numpy(zero_copy_only=False)
+        units, keys, dims = [], [], []
+        for a, b, ok in zip(bounds[:-1].tolist(), bounds[1:].tolist(), usable.tolist()):
+            x = values[a:b]
+            top = np.abs(x).max() if ok and b > a else 0.0
+            if np.isfinite(top) and top > 0:
                 x = x / top
-                u = x / np.linalg.norm(x) + 0.0
-            ids.append(vec_id)
-            units.append(u.tobytes() if ok else None)
-            keys.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if ok else None)
-            dims.append(len(v) if ok else None)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(units, pa.binary()), pa.array(keys, pa.binary()), pa.array(dims, pa.int32())], names=["vec_id", "unit", "digest", "dim"])
+                u = (x / np.sqrt(x @ x) + 0.0).tobytes()
+                units.append(u)
+                keys.append(hashlib.blake2b(u, digest_size=16).digest())
+                dims.append(b - a)
+            else:
+                units.append(None)
+                keys.append(None)
+                dims.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(units, pa.binary()), pa.array(keys, pa.binary()), pa.array(dims, pa.int32())], names=["vec_id", "unit", "digest", "dim"])
 
 
 def principal_axes(sample: np.ndarray) -> np.ndarray:
