@@ -12,7 +12,7 @@ from inkwell.llm import decontam, langid, mixing, neardup, secrets
 from inkwell.llm.workspace import Workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-MIN_SCORE = 0.5
+MIN_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
