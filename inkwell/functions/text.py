@@ -5,16 +5,29 @@ Regular expressions run in Unicode mode, so that classes and case follow Unicode
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+# fixed values: the characters that count as white space at the ends of a text
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(SPACE))
 
 
 def words(c: Column | str) -> Column:
@@ -84,16 +97,25 @@ def language(c: Column | str) -> Column:
 
 def digest_embedding(c: Column | str, dim: int = 16) -> Column:
     """array<double>: byte i of the SHA-256 over 255, times cos(i + 1)."""
-    h = F.sha2(_col(c), 256)
-    return F.array(*[F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("double") / 255.0 * F.cos(F.lit(i + 1.0)) for i in range(dim)])
+    return let(F.sha2(_col(c), 256), lambda h: F.array(*[F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("double") / 255.0 * F.cos(F.lit(i + 1.0)) for i in range(dim)]))
+
+
+def digest_vector(text: str, dim: int = 16) -> Column:
+    """The same embedding of a text known to the driver, as a literal."""
+    h = hashlib.sha256(text.encode()).digest()
+    return F.array(*[F.lit(h[i] / 255.0 * math.cos(i + 1.0)) for i in range(dim)])
 
 
 def hash_embedding(c: Column | str, dim: int = 16) -> Column:
     """Feature-hashed word counts scaled to length one; zeros without a word.  Stable across processes."""
-    found = F.transform(F.regexp_extract_all(F.lower(_col(c)), F.lit(r"(?U)(\w+)"), F.lit(1)), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(found, lambda x: x == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    found = F.transform(F.regexp_extract_all(F.lower(_col(c)), F.lit(r"(?U)(\w+)"), F.lit(1)), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
+    zeros = F.array(*[F.lit(0.0)] * dim)
+    counts = F.aggregate(found, zeros, lambda acc, x: F.transform(acc, lambda v, i: F.when(i == x, v + 1.0).otherwise(v)))
+
+    def scaled(pair: Column) -> Column:
+        return F.transform(pair["v"], lambda x: F.when(pair["n"] > 0, x / pair["n"]).otherwise(0.0))
+
+    return let(let(counts, lambda v: F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("n"))), scaled)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -104,10 +126,9 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision; a zero norm counts as one."""
 
     def norm(v: Column) -> Column:
-        n = F.sqrt(dot(v, v))
-        return F.when(n == 0, F.lit(1.0)).otherwise(n)
+        return let(F.sqrt(dot(v, v)), lambda n: F.when(n == 0, F.lit(1.0)).otherwise(n))
 
-    return dot(a, b) / (norm(a) * norm(b))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: dot(p["a"], p["b"]) / (norm(p["a"]) * norm(p["b"])))
 
 
 def flow_score(token_count: Column, text: Column, first: Column, last: Column) -> Column:

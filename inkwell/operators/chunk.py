@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
 
@@ -55,15 +55,17 @@ def chunks(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> Dat
     def spans(tokens: pd.Series, heading: pd.Series) -> pd.Series:
         return pd.Series([[{"a": a, "b": b} for a, b in pack(list(t), list(h), target, overlap)] for t, h in zip(tokens, heading)])
 
-    packed = s.withColumn("spans", spans("tokens", "heading")).select("doc_id", "s", "tokens", F.posexplode("spans").alias("k", "x"))
-    size = F.col("x.b") - F.col("x.a") + 1
-    count = F.aggregate(F.slice("tokens", F.col("x.a") + 1, size), F.lit(0), lambda acc, v: acc + v)
-    return packed.select(
-        "doc_id",
-        (F.col("k") + 1).alias("chunk_no"),
-        F.format_string("%s:c%d", F.col("doc_id").cast("string"), F.col("k") + 1).alias("chunk_id"),
-        F.array_join(F.slice("s", F.col("x.a") + 1, size), " ").alias("text"),
-        F.col("x.a").alias("sentence_start"),
-        F.col("x.b").alias("sentence_end"),
-        count.alias("token_count"),
-    )
+    def cut(x: Column, k: Column) -> Column:
+        size = x["b"] - x["a"] + 1
+        return F.struct(
+            (k + 1).alias("chunk_no"),
+            F.array_join(F.slice("s", x["a"] + 1, size), " ").alias("text"),
+            x["a"].alias("sentence_start"),
+            x["b"].alias("sentence_end"),
+            F.aggregate(F.slice("tokens", x["a"] + 1, size), F.lit(0), lambda acc, v: acc + v).alias("token_count"),
+        )
+
+    # the chunks are cut before they are exploded: no row ever carries the whole document more than once
+    packed = s.withColumn("spans", spans("tokens", "heading")).select("doc_id", F.explode(F.transform("spans", cut)).alias("c"))
+    name = F.format_string("%s:c%d", F.col("doc_id").cast("string"), F.col("c.chunk_no"))
+    return packed.select("doc_id", "c.chunk_no", name.alias("chunk_id"), "c.text", "c.sentence_start", "c.sentence_end", "c.token_count")

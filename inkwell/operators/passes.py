@@ -35,8 +35,8 @@ QUERY = "{} engineering insights"
 
 
 def per_domain(rows: DataFrame) -> DataFrame:
-    """``rows`` once for each domain, with domain, query, system and user."""
-    every = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(QUERY.format(d)).alias("query"), F.lit(s).alias("system"), F.lit(u).alias("user")) for d, (s, u) in PROMPTS.items()])
+    """``rows`` once for each domain, with domain, query, system, user and query_vector."""
+    every = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(QUERY.format(d)).alias("query"), F.lit(s).alias("system"), F.lit(u).alias("user"), X.digest_vector(QUERY.format(d)).alias("query_vector")) for d, (s, u) in PROMPTS.items()])
     return rows.select("*", F.inline(every))
 
 
@@ -53,7 +53,7 @@ def retrieve(spark: SparkSession, chunks: DataFrame) -> DataFrame:
     """
     sparse = search.grouped_bm25(chunks, queries(spark))
     vectors = per_domain(chunks.select("doc_id", "idx", X.digest_embedding("text").alias("v")))
-    dense = vectors.select("doc_id", "domain", "idx", X.cosine(F.col("v"), X.digest_embedding("query")).alias("score"))
+    dense = vectors.select("doc_id", "domain", "idx", X.cosine(F.col("v"), F.col("query_vector")).alias("score"))
     group, best = ["doc_id", "domain"], [F.desc("score"), F.asc("idx")]
     s = search.rank_by(sparse.where("score > 0"), group, HITS, best).select(*group, "idx", F.col("score").alias("sparse_score"))
     d = search.rank_by(dense, group, HITS, best).select(*group, "idx", F.col("score").alias("dense_score"))

@@ -18,10 +18,8 @@ def term_df(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key``, term, tf: counted inside each document's row, without a shuffle."""
-    t = docs.select(key, F.array_sort(X.tokens("text")).alias("t"))
-    counts = t.select(key, F.explode(F.array_distinct("t")).alias("term"), "t")
-    return counts.select(key, "term", F.size(F.filter("t", lambda x: x == F.col("term"))).alias("tf"))
+    """``key``, term, tf; terms are counted before the shuffle."""
+    return docs.select(key, F.explode(X.tokens("text")).alias("term")).groupBy(key, "term").agg(F.count("*").cast("int").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -42,14 +40,18 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
     query's words into a single row, a scalar subquery; the other scores each document in place.
     """
     wanted = Counter(query.lower().split())
-    docs = docs.select(key, X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    places = F.array(*[F.lit(w) for w in wanted])
 
-    def count(word: str) -> Column:
-        return F.size(F.filter("t", lambda x: x == word))
+    def found(t: Column) -> Column:
+        """Length of the text and the places of its words among the query's, in one pass over the words."""
+        return F.struct(F.size(t).alias("dl"), F.filter(F.transform(t, lambda w: F.array_position(places, w)), lambda p: p > 0).alias("p"))
 
-    tf = {w: count(w) for w in wanted}
-    counted = docs.select(key, F.size("t").alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(tf.values())])
-    stats = counted.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(tf))])
+    def count(i: int) -> Column:
+        return F.size(F.filter("d.p", lambda x: x == i + 1))
+
+    tokens = docs.select(key, X.let(X.tokens(F.coalesce("text", F.lit(""))), found).alias("d"))
+    counted = tokens.select(key, F.col("d.dl").alias("dl"), *[count(i).alias(f"tf{i}") for i in range(len(wanted))])
+    stats = counted.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     one = stats.select(F.struct("*")).scalar()
     avgdl = F.when(one["total"] == 0, 1.0).otherwise(one["total"].cast("double")) / F.greatest(one["n"], F.lit(1))
     score = F.lit(0.0)
@@ -82,7 +84,7 @@ def fuse(sparse: DataFrame, dense_: DataFrame, k: int = 20, alpha: float = 0.5,
 def hybrid(docs: DataFrame, query: str, k: int = 20, alpha: float = 0.5, key: str = "doc_id") -> DataFrame:
     """Hybrid search of ``docs`` with digest embeddings on the dense side."""
     vectors = docs.select(key, X.digest_embedding(F.coalesce("text", F.lit(""))).alias("v"))
-    return fuse(top(bm25(docs, query, key), k, key), top(dense(vectors, X.digest_embedding(F.lit(query)), key, "v"), k, key), k, alpha, key)
+    return fuse(top(bm25(docs, query, key), k, key), top(dense(vectors, X.digest_vector(query), key, "v"), k, key), k, alpha, key)
 
 
 def payload_hits(hits: DataFrame, payloads: DataFrame, key: str) -> DataFrame:
