@@ -27,6 +27,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .workspace import spread
+
 ERROR_RATE = 0.05
 MIN_WORDS = 8
 BLOCK_CHARS = 2_000_000
@@ -188,4 +190,4 @@ def clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) ->
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks(spark, spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -32,7 +32,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, spread
 
 MIN_PAGES, SHARE, SHARE_INSIDE = 5, 0.5, 0.9
 LINK_DENSITY = 0.5
@@ -282,4 +282,4 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract(spark, spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id"))

@@ -28,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .textvec import buffers, slices
+from .workspace import spread
 
 FEATURES = 1 << 15
+SLICE = 1 << 18  # bytes of text whose n-grams are in memory at once
 ORDERS = (1, 2, 3)
 SAMPLE = 1000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 1e-3, 1e-4
@@ -81,7 +83,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def rows_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, bool]]:
     """(feature indexes, has a letter) of each text."""
     data, offsets = buffers(texts)
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, SLICE):
         idx, bounds, lettered = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         for r in range(b - a):
             yield idx[bounds[r] : bounds[r + 1]], bool(lettered[r])
@@ -238,4 +240,4 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None, s
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return identify(spark, spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"))

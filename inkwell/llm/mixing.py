@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .textvec import _WS, buffers, slices
-from .workspace import Workspace
+from .workspace import Workspace, spread
 
 BLOCK = 64
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -189,4 +189,4 @@ class Mix:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Mix(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).taken().drop("source")
+    return Mix(spark, spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")).taken().drop("source")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import connected_components
 from .textvec import mix, shingle_sets, word_slices
-from .workspace import Workspace
+from .workspace import Workspace, spread
 
 SHINGLE, NUM, DEN = 5, 75, 100
 REGISTERS, ROWS = 128, 4
@@ -136,18 +136,20 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets: list[list[np.ndarray]] = [[], []]
-        good = []
-        for side, column in enumerate(("ta", "tb")):
-            for _, _, w in word_slices(batch.column(column), lower=True):
-                g, bounds = shingle_sets(w, SHINGLE)
-                sets[side] += [g[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        for x, y in zip(*sets):
-            both = np.sort(np.concatenate([x, y]))
-            same = int((both[1:] == both[:-1]).sum())
-            good.append(same > 0 and DEN * same >= NUM * (len(x) + len(y) - same))
-        yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            sets: list[list[np.ndarray]] = [[], []]
+            good = []
+            for side, column in enumerate(("ta", "tb")):
+                for _, _, w in word_slices(batch.column(column), lower=True):
+                    g, bounds = shingle_sets(w, SHINGLE)
+                    sets[side] += [g[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            for x, y in zip(*sets):
+                both = np.sort(np.concatenate([x, y]))
+                same = int((both[1:] == both[:-1]).sum())
+                good.append(same > 0 and DEN * same >= NUM * (len(x) + len(y) - same))
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
 
 def _check(ws: Workspace, pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -207,4 +209,4 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark, spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"))

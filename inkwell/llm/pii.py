@@ -36,6 +36,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .workspace import spread
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0 is outside
 SAMPLE = 5000
@@ -325,4 +327,4 @@ def personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return personal_data(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"))

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .workspace import Workspace
+from .workspace import Workspace, spread
 
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -165,6 +165,6 @@ def redacted(spark: SparkSession, docs: DataFrame, ledger_path: str, key: str =
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     ledger = Workspace(spark, "ledger").path("ledger")
     return digest(scan_versions(spark, docs.select(F.col("doc_id").alias("path"), "text"), ledger))

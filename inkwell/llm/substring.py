@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .textvec import Words, ngrams, span_hash, word_slices
-from .workspace import Workspace
+from .workspace import Workspace, spread
 
 SEED = 25
 WINDOW = 2 * SEED
@@ -196,4 +196,4 @@ def repeat_levels(spark: SparkSession, docs: DataFrame, first: int = WINDOW) ->
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
+    return remove_repeats(spark, spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")).drop("kept_text")

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .html import blocks, parse
+from .workspace import spread
 
 VERSION = "WARC/1.1"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
@@ -186,5 +187,5 @@ def write_warc(found: DataFrame, path: str, compression: str = "none") -> None:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = derivatives(responses_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    found = derivatives(responses_of_pages(spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")))
     return found.withColumn("block", F.decode("block", "UTF-8"))

@@ -40,6 +40,12 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """A small table that arrives in fewer partitions than there are cores, dealt out; any other as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
+
 class Workspace:
     """One folder of intermediate tables; removed when the Python process ends."""
 
