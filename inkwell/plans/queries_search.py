@@ -160,12 +160,12 @@ ORACLES = {
     "postings": f"SELECT doc_id, term, CAST(count(*) AS INT) AS tf FROM (SELECT doc_id, unnest({WORD.format('text')}) AS term FROM documents) GROUP BY 1, 2 HAVING count(*) > 1",
     "corpus_stats": f"SELECT count(*) AS n_docs, CAST(sum(len({WORD.format('text')})) AS BIGINT) AS total_tokens, round(sum(len({WORD.format('text')})) / count(*), 6) AS avgdl FROM documents",
     "dense_topk": f"WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings), s AS (SELECT e.vec_id, {COSINE.format('e.v', 'q.v')} AS score FROM e, (SELECT v FROM e WHERE vec_id = 0) q) SELECT vec_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 20",
-    "payload_topk": f"WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) v FROM embeddings), s AS (SELECT e.vec_id, label, {COSINE.format('e.v', 'q.v')} AS score FROM e, (SELECT v FROM e WHERE vec_id = 7) q) SELECT vec_id, round(score, 6) AS score, CASE WHEN label <> 3 THEN label END AS label FROM s ORDER BY s.score DESC, vec_id LIMIT 10",
+    "payload_topk": f"WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) v FROM embeddings), s AS (SELECT e.vec_id, label, {COSINE.format('e.v', 'q.v')} AS score FROM e, (SELECT v FROM e WHERE vec_id = 7) q) SELECT vec_id, round(score, 6) AS score, CASE WHEN label <> 3 THEN CAST(label AS BIGINT) END AS label FROM s ORDER BY s.score DESC, vec_id LIMIT 10",
     "hybrid_topk": f"""WITH {BM25}, sp AS (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 20), em AS (SELECT doc_id, {EMBED} v FROM (SELECT doc_id, sha256(coalesce(text, '')) h FROM documents)), qv AS (SELECT {EMBED} q FROM (SELECT sha256('{QUERY}') h)),
 de AS (SELECT doc_id, {COSINE.format('v', 'q')} score FROM em, qv ORDER BY 2 DESC, 1 LIMIT 20), f AS (SELECT coalesce(sp.doc_id, de.doc_id) doc_id, coalesce(de.score, 0) dense, coalesce(sp.score, 0) sparse FROM (SELECT * FROM sp WHERE score > 0) sp FULL JOIN de ON sp.doc_id = de.doc_id)
 SELECT doc_id, round(0.5 * dense + 0.5 * sparse, 6) AS score, round(dense, 6) AS dense, round(sparse, 6) AS sparse FROM f ORDER BY 0.5 * f.dense + 0.5 * f.sparse DESC, doc_id LIMIT 20""",
     "sha_embedding": f"WITH e AS (SELECT doc_id, {EMBED} v FROM (SELECT doc_id, sha256(coalesce(text, '')) h FROM documents)) SELECT doc_id, generate_subscripts(v, 1) - 1 AS i, round(unnest(v), 6) AS x FROM e",
-    "hash_embedding": r"SELECT doc_id, 16 AS dim, CASE WHEN regexp_matches(text, '[\p{L}\p{Nd}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents",
+    "hash_embedding": r"SELECT doc_id, CAST(16 AS BIGINT) AS dim, CASE WHEN regexp_matches(text, '[\p{L}\p{Nd}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents",
     "flow_score": f"WITH {PASSAGES} SELECT doc_id, round(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 0.05::DOUBLE + 1.0::DOUBLE / greatest(b - a + 1, 1), 4) AS score FROM p",
     "energy_score": r"SELECT doc_id, CASE WHEN length(coalesce(text, '')) = 0 THEN 0.0 ELSE round(length(regexp_replace(text, '[^\p{Nd}\p{Lu}%°±]', '', 'g')) / length(text), 4) END::DOUBLE AS score FROM documents",
     "graph_score": f"WITH {PASSAGES} SELECT doc_id, CASE WHEN coalesce(path, '') = '' THEN 0.5 ELSE round(1.0::DOUBLE / len(string_split(path, '/')) + 0.05::DOUBLE * len(string_split(path, '/')), 4) END::DOUBLE AS score FROM p",

@@ -19,7 +19,7 @@ s4 AS (SELECT *, (tok <= 6 AND x = upper(x) AND x <> lower(x)) OR (length(regexp
 CHUNKS = rf"""{SENTENCES},
 e0 AS (SELECT a.doc_id, a.i, min(b.i) FILTER (WHERE b.i > a.i AND b.hd) hh, min(b.i + 1) FILTER (WHERE b.cum - a.cum + a.tok >= 90) bb FROM s4 a JOIN s4 b ON a.doc_id = b.doc_id AND b.i >= a.i GROUP BY 1, 2),
 e AS (SELECT s4.doc_id, s4.i, s4.n, CAST(greatest(0, least(round_even(12 / greatest(s4.av, 1.0), 0), s4.n - 1)) AS INT) ov, least(s4.n, coalesce(hh, s4.n), coalesce(bb, s4.n)) en FROM s4 JOIN e0 USING (doc_id, i)),
-ch AS (SELECT doc_id, i st, en, n, ov, 1 AS chunk_no FROM e WHERE i = 0 UNION ALL SELECT e.doc_id, e.i, e.en, e.n, e.ov, ch.chunk_no + 1 FROM ch JOIN e ON e.doc_id = ch.doc_id AND e.i = greatest(ch.en - ch.ov, ch.st + 1) WHERE ch.en < ch.n),
+ch AS (SELECT doc_id, i st, en, n, ov, CAST(1 AS BIGINT) AS chunk_no FROM e WHERE i = 0 UNION ALL SELECT e.doc_id, e.i, e.en, e.n, e.ov, ch.chunk_no + 1 FROM ch JOIN e ON e.doc_id = ch.doc_id AND e.i = greatest(ch.en - ch.ov, ch.st + 1) WHERE ch.en < ch.n),
 chunks AS (SELECT ch.doc_id, ch.chunk_no, ch.st AS sentence_start, ch.en - 1 AS sentence_end, CAST(sum(s4.tok) AS INT) AS token_count, string_agg(s4.x, ' ' ORDER BY s4.i) AS text FROM ch JOIN s4 ON s4.doc_id = ch.doc_id AND s4.i >= ch.st AND s4.i < ch.en GROUP BY 1, 2, 3, 4)"""
 
 
