@@ -7,9 +7,9 @@ document with a smaller id.  Candidates are windows repeated at 25 words alone:
    seed.  Equal windows pick equal seeds at equal places, so a 50-word window can repeat only if its
    seed does; seeds are about one position in thirteen.
 2. Level 25: seeds seen in one document alone drop out.
-3. Level 100: the 75 to 100 words around a surviving seed hold all windows that picked it.  Where
-   that whole context also starts in a smaller document, all of them repeat and the seed is
-   settled; only the context's first document goes on.
+3. The 50 to 75 words around a surviving seed hold all windows that picked it.  Where that whole
+   context also starts in a smaller document, all of them repeat and the seed is settled; only the
+   context's first document goes on.
 4. Level 50: for seeds still open, each window that picked it is hashed and compared.
 5. Removed words are the union of the settled and confirmed windows.  Longer windows cannot add any:
    a repeated window of more words consists of repeated 50-word windows.
@@ -21,9 +21,11 @@ All comparisons are minimum aggregations by 64-bit hash followed by a join on a
 passage that a third of the corpus shares is one combined row in the aggregate and a splittable
 side in the join.
 
-Edge cases: null text has no words; documents under 50 words have no window; repeated equal rows of
-an id are answered alike, and an id never counts as smaller than itself; rows with a null id lose nothing and remove nothing; an
-empty table gives an empty result; other columns are ignored.
+Edge cases: null text has no words; documents under 50 words have no window; equal rows of one id are
+answered alike, and an id never counts as smaller than itself; rows of one id with unequal texts are
+read as versions of one document, and a window repeated in either goes from both where it fits; rows
+with a null id lose nothing and remove nothing; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -96,6 +98,7 @@ def _find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             g, _ = ngrams(w.hash, w.row, WINDOW)
             for r, (lo, hi) in enumerate(zip(lo_all[a:b], hi_all[a:b])):
                 at = np.concatenate([np.arange(x, y + 1) for x, y in zip(lo, hi)])
+                at = at[at + WINDOW <= w.first[r + 1] - w.first[r]]
                 starts.append(at)
                 hashes.append(g[at + w.first[r]])
                 docs.append(np.full(len(at), ids[r]))
@@ -113,8 +116,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 i, j = int(w.first[r]), int(w.first[r + 1])
                 gone = np.zeros(j - i + 1, np.int64)
                 if lo_all[a + r]:
-                    np.add.at(gone, np.array(lo_all[a + r]), 1)
-                    np.add.at(gone, np.array(hi_all[a + r]) + WINDOW, -1)
+                    lo, hi = np.array(lo_all[a + r]), np.array(hi_all[a + r])
+                    fits = hi + WINDOW <= j - i
+                    np.add.at(gone, lo[fits], 1)
+                    np.add.at(gone, hi[fits] + WINDOW, -1)
                 keep = np.cumsum(gone[:-1]) == 0
                 s, e = w.start[i:j][keep].tolist(), w.end[i:j][keep].tolist()
                 kept = b" ".join([raw[x:y] for x, y in zip(s, e)])
@@ -136,7 +141,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     repeated = ws.save(found.groupBy("seed").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("seed"), "repeated")
     live = ws.save(found.join(repeated, "seed").select("doc_id", "context", "lo", "hi"), "live")
 
-    # level 100: contexts that start in a smaller document too
+    # contexts that start in a smaller document too settle all their windows
     first = ws.save(live.groupBy("context").agg(F.min("doc_id").alias("d0")), "contexts")
     split = ws.save(live.join(first, "context").select("doc_id", "lo", "hi", (F.col("doc_id") > F.col("d0")).alias("settled")), "split")
 

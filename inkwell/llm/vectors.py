@@ -17,8 +17,9 @@ whose bound is the suffix norm; the rows moved grow as rows times tiles.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing; vectors of different lengths link with nothing of another length; a null id links with
-nothing; repeated rows of an id are answered alike and do not link with themselves; an empty table
-gives an empty result; other columns are ignored.
+nothing; repeated rows of an id are answered alike and do not link with themselves; rows of one id
+with unequal vectors are one node with the links of all of them; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,7 +89,8 @@ def _tiles(size: int):
         def tile() -> pa.RecordBatch:
             y = b"".join(rows)
             lead = np.frombuffer(y).reshape(len(ids), -1)[:, 0]
-            return pa.RecordBatch.from_arrays([pa.array([min(ids)]), pa.array([float(lead.min())]), pa.array([float(lead.max())]), pa.array([np.array(ids).tobytes()], pa.binary()), pa.array([np.array(weights).tobytes()], pa.binary()), pa.array([y], pa.binary())], names=["tile", "lo", "hi", "ids", "weights", "y"])
+            name = hashlib.blake2b(np.array(ids).tobytes() + y, digest_size=8).digest()
+            return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(name, "little", signed=True)]), pa.array([float(lead.min())]), pa.array([float(lead.max())]), pa.array([np.array(ids).tobytes()], pa.binary()), pa.array([np.array(weights).tobytes()], pa.binary()), pa.array([y], pa.binary())], names=["tile", "lo", "hi", "ids", "weights", "y"])
 
         for batch in batches:
             for a, b, c in zip(*(batch.column(k).to_pylist() for k in ("rep", "weight", "y"))):

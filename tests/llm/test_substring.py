@@ -67,3 +67,10 @@ def test_odd_rows(spark, odd, none):
     got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(spark, odd).collect()), key=str)
     assert len(got) == 11 and (5, 60000, 0) in got and (6, 60000, 60000) in got and (0, 0, 0) in got and got.count((3, 3, 0)) == 2
     assert substring.remove_repeats(spark, none).count() == 0
+
+
+def test_versions_of_one_id_do_not_disturb(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(200))
+    rows = [(1, a), (2, a), (2, b + " " + a), (2, "short"), (3, b)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[0] == (1, 60, 0) and got[-1] == (3, 200, 200) and (2, 1, 0) in got and len(got) == 5
