@@ -62,38 +62,70 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     keep[1:] |= (x[:-1] != 0) & (row[1:] == row[:-1])  # one space after each run of letters
     x, row = x[keep].astype(np.uint64), row[keep]
     idx, owner = [], []
-    shift = np.uint64(64 - FEATURES.bit_length() + 1)
     for n in ORDERS:
         k = len(x) - n + 1
         if k > 0:
-            h = np.full(k, n, np.uint64)
-            for i in range(n):
-                h = (h ^ x[i : i + k]) * _MIX[i]
-                h ^= h >> np.uint64(29)
             ok = row[:k] == row[n - 1 :]
-            idx.append(((h * _MIX[0]) >> shift)[ok])
+            idx.append(_indexes(x, n)[ok])
             owner.append(row[:k][ok])
     if not idx:
         return np.zeros(0, np.int64), np.zeros(rows + 1, np.int64), lettered
-    flat, owner = np.concatenate(idx).astype(np.int64), np.concatenate(owner)
+    flat, owner = np.concatenate(idx), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
     return flat[order], np.r_[0, np.cumsum(np.bincount(owner, minlength=rows))], lettered
 
 
-def rows_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, bool]]:
-    """(feature indexes, has a letter) of each text."""
+def _indexes(x: np.ndarray, n: int) -> np.ndarray:
+    """Feature of each n-gram of a letter stream."""
+    h = np.full(len(x) - n + 1, n, np.uint64)
+    for i in range(n):
+        h = (h ^ x[i : i + len(h)]) * _MIX[i]
+        h ^= h >> np.uint64(29)
+    return ((h * _MIX[0]) >> np.uint64(64 - FEATURES.bit_length() + 1)).astype(np.int64)
+
+
+def long_counts(data: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Feature counts of one long text, and whether it has a letter, piece by piece."""
+    counts, lettered, at, before, tail = np.zeros(FEATURES, np.int64), False, 0, 0, np.zeros(0, np.uint64)
+    while at < len(data):
+        end = min(len(data), at + SLICE)
+        while end < len(data) and data[end] & 0xC0 == 0x80:  # not inside a character
+            end += 1
+        x = _letters()[np.frombuffer(data[at:end].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
+        keep = x != 0
+        lettered |= bool(keep.any())
+        keep |= np.r_[before, x[:-1]] != 0
+        stream = np.r_[tail, x[keep].astype(np.uint64)]
+        for n in ORDERS:
+            new = stream[max(0, len(tail) - n + 1) :]
+            if len(new) >= n:
+                counts += np.bincount(_indexes(new, n), minlength=FEATURES)
+        tail, before, at = stream[len(stream) - min(len(stream), max(ORDERS) - 1) :], x[-1], end
+    return counts, lettered
+
+
+def rows_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(features, their counts, has a letter) of each text."""
     data, offsets = buffers(texts)
     for a, b in slices(offsets, SLICE):
-        idx, bounds, lettered = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        part = data[offsets[a] : offsets[b]]
+        if b == a + 1 and len(part) > SLICE:
+            counts, lettered = long_counts(part)
+            ids = np.flatnonzero(counts)
+            yield ids, counts[ids], lettered
+            continue
+        idx, bounds, lettered = grams(part, offsets[a : b + 1] - offsets[a])
         for r in range(b - a):
-            yield idx[bounds[r] : bounds[r + 1]], bool(lettered[r])
+            counts = np.bincount(idx[bounds[r] : bounds[r + 1]])
+            ids = np.flatnonzero(counts)
+            yield ids, counts[ids], bool(lettered[r])
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(FEATURES, np.int64), 0
     for batch in batches:
-        for idx, _ in rows_of(batch.column("text")):
-            df += np.bincount(idx, minlength=FEATURES) > 0
+        for found, _, _ in rows_of(batch.column("text")):
+            df[found] += 1
             n += 1
     if n:
         yield from _df_rows(df, n)
@@ -115,10 +147,9 @@ def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, counts = [], []
-        for idx, _ in rows_of(batch.column("text")):
-            u, c = np.unique(idx, return_counts=True)
-            ids.append(u.astype(np.int32).tobytes())
-            counts.append(c.astype(np.int32).tobytes())
+        for found, times, _ in rows_of(batch.column("text")):
+            ids.append(found.astype(np.int32).tobytes())
+            counts.append(times.astype(np.int32).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("lang"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["order", "lang", "ids", "counts"])
 
 
@@ -209,14 +240,12 @@ def _predictor(model: Model | None):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], []
-            for idx, lettered in rows_of(batch.column("text")):
+            for ids, counts, lettered in rows_of(batch.column("text")):
                 if not lettered or model is None:
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                counts = np.bincount(idx)
-                ids = np.flatnonzero(counts)
-                p = model.probabilities(model.logits(ids, counts[ids]))
+                p = model.probabilities(model.logits(ids, counts))
                 best = int(p.argmax())
                 langs.append(model.langs[best])
                 scores.append(float(p[best]))

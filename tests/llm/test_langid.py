@@ -1,5 +1,9 @@
 import zlib
 
+import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings, strategies as st
+
 from inkwell.llm import langid
 
 
@@ -28,3 +32,19 @@ def test_odd_rows(spark, odd, none):
     assert langid.identify(spark, none).count() == 0
     untaught = langid.identify(spark, odd.selectExpr("doc_id", "text", "cast(null AS string) AS lang")).collect()
     assert {r.lang_pred for r in untaught} == {"und"}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aÉ ñ1.漢\U0001f600\n", max_size=60), min_size=1, max_size=4))
+def test_counts_do_not_depend_on_the_slices(texts):
+    whole = [(i.tolist(), c.tolist(), x) for i, c, x in langid.rows_of(pa.array(texts))]
+    for text, (ids, counts, lettered) in zip(texts, whole):
+        grams = "".join(c.lower() if c.isalpha() else " " for c in text)
+        assert sum(counts) <= 3 * len(grams) and lettered == any(c.isalpha() for c in text)
+    before = langid.SLICE
+    try:
+        langid.SLICE = 7
+        assert [(i.tolist(), c.tolist(), x) for i, c, x in langid.rows_of(pa.array(texts))] == whole
+    finally:
+        langid.SLICE = before
+    assert np.all([sorted(w[0]) == w[0] for w in whole])
