@@ -182,7 +182,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken for each document."""
         times = self.ws.save(self.slots.groupBy("sidx", "block").agg(F.count("*").alias("times")), "times")  # written, so that the planner knows its size
-        taken = self.pieces().join(times, ["sidx", "block"]).groupBy("sidx", "first").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        taken = self.pieces().hint("merge").join(times, ["sidx", "block"]).groupBy("sidx", "first").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
         rows = self.rows.withColumn("at", F.when(F.col("size") > 0, F.col("first")))
         rows = rows.join(taken.withColumnRenamed("first", "at"), ["sidx", "at"], "left").join(F.broadcast(self.sources.drop("source")), "sidx")
         return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
