@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import text as X
 from ..operators import chunk, passes, search
@@ -111,8 +111,6 @@ def pass_manifest(spark, d):
 def _ranked_documents(spark, d):
     s = search.bm25(T.documents(spark, d), "the of").select("doc_id", "score")
     t = T.table(spark, d, "documents").join(s, "doc_id")
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "doc_id"))
     return t.select(F.col("source").alias("domain"), F.lit(0).alias("doc_id"), rank.alias("rank"), F.concat("lang", (F.col("doc_id") % 40).cast("string")).alias("chunk_id"), "text", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("header_path"), F.col("doc_id").alias("row_id"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import text as X
 from ..operators import chunk, enrich, ingest
@@ -185,8 +185,6 @@ def audit_rollup(spark, d):
 
 def nearest_rank(spark, d):
     """Sorted values at round((n - 1) q), half to even, per event type; the rank is a window over one type's rows."""
-    from pyspark.sql import Window
-
     e = T.table(spark, d, "events")
     w = Window.partitionBy("event_type")
     r = e.select("event_type", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("r"), F.count("*").over(w).alias("n"))
