@@ -27,7 +27,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .workspace import spread
+from .workspace import small_batches, spread
 
 ERROR_RATE = 0.05
 MIN_WORDS = 8
@@ -166,6 +166,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, error_rate: fl
     ``start`` and ``end`` are code points of the normalised text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(spark)
     out = None
     for block in blocks(items):
         found = docs.mapInArrow(_finder(tuple(block), error_rate), RESULT)
@@ -184,6 +185,7 @@ def _keeper(items: tuple[tuple[int | None, str], ...], error_rate: float):
 
 def clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """The rows of ``docs`` in which no item is found; one narrow pass for each block of items."""
+    small_batches(docs.sparkSession)
     for block in blocks(items):
         docs = docs.mapInArrow(_keeper(tuple(block), error_rate), docs.schema)
     return docs

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .textvec import buffers, slices
-from .workspace import spread
+from .workspace import small_batches, spread
 
 FEATURES = 1 << 15
 SLICE = 1 << 18  # bytes of text whose n-grams are in memory at once
@@ -215,6 +215,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Mode
 
 def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from the training documents of ``docs`` (doc_id, text, lang); None if there are none."""
+    small_batches(spark)
     usable = docs.where("doc_id is not null and lang is not null and text is not null").withColumn("order", F.xxhash64(F.col("doc_id").cast("string")))
     usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).select("order", "lang", "text")
     sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
@@ -256,6 +257,7 @@ def _predictor(model: Model | None):
 
 def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` (text and other columns, none named lang_pred or score) with lang_pred and score; a narrow pass."""
+    small_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(_predictor(model), schema)
 

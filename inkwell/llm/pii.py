@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .workspace import spread
+from .workspace import small_batches, spread
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0 is outside
@@ -322,6 +322,7 @@ def _finder(model: Model):
 def personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of ``docs``; trains on ``docs`` if no model is given."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(docs.sparkSession)
     model = model or train(docs)
     return docs.mapInArrow(_finder(model), "doc_id long, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .html import blocks, parse
-from .workspace import spread
+from .workspace import small_batches, spread
 
 VERSION = "WARC/1.1"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
@@ -121,6 +121,7 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def derivatives(responses: DataFrame) -> DataFrame:
     """Two records (RECORD) for each row of ``responses`` (record_id, target_uri, date, http_headers, payload binary)."""
+    small_batches(responses.sparkSession)
     columns = ["record_id", "target_uri", "date", "http_headers", "payload"]
     return responses.where("record_id is not null").select(columns).mapInArrow(_derive, RECORD)
 

@@ -16,6 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1024
 _local_root: dict[str, str] = {}
 
 
@@ -40,6 +42,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows, unless the session sets another number than Spark's default.
+
+    Ten thousand texts at once would hold tens of megabytes several times over in each task.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def spread(table: DataFrame, key: str) -> DataFrame:
     """A small table that arrives in fewer partitions than there are cores, dealt out; any other as it is."""
     cores = table.sparkSession.sparkContext.defaultParallelism
@@ -50,6 +61,7 @@ class Workspace:
     """One folder of intermediate tables; removed when the Python process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.root, self._n = spark, f"{shared_dir(spark)}/inkwell/{name}-{uuid.uuid4().hex}", 0
         atexit.register(_delete, spark, self.root)
 
