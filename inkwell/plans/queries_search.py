@@ -23,7 +23,7 @@ def term_df(spark, d):
 
 
 def postings(spark, d):
-    return search.postings(T.documents(spark, d)).where("tf > 1")
+    return search.postings(T.documents(spark, d))
 
 
 def corpus_stats(spark, d):
