@@ -11,9 +11,12 @@ item's characters as the bits of one integer.
 Items are a stated query set: they are taken in blocks of bounded size, each block's automaton is
 built once per worker, and documents are scanned whole, in place, without a shuffle.
 
-Edge cases: null texts match nothing; items of fewer than ``MIN_WORDS`` words are too short to
-tell a leak from ordinary language and are not searched; items with a null id or equal texts are
-searched like others; null document ids and repeated rows are answered row by row; empty tables give
+Items of any length are searched.  One of fewer than ``SHORT`` characters has to occur exactly, and, so that
+it is not found inside longer words, with no letter or digit next to its ends; scripts written
+without spaces have no such borders.
+
+Edge cases: null texts match nothing; items without letters and digits are empty and match nothing;
+items with a null id or equal texts are searched like others; null document ids and repeated rows are answered row by row; empty tables give
 an empty result; other columns are ignored.
 """
 
@@ -30,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .workspace import small_batches, spread
 
 ERROR_RATE = 0.05
-MIN_WORDS = 8
+SHORT = 20
 BLOCK_CHARS = 2_000_000
 _BETWEEN = re.compile(r"[\W_]+")
+#: Thai, Lao, Tibetan, Myanmar, Khmer, kana, ideographs
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 RESULT = "doc_id long, item_id long, distance long, budget long, start long, end long"
 
 
@@ -40,6 +45,11 @@ def normalise(text: str | None) -> str:
     return _BETWEEN.sub(" ", (text or "").lower()).strip()
 
 
+def bordered(text: str, start: int, end: int) -> bool:
+    """Whether no word of a spaced script runs over an end of text[start:end]."""
+    return all(not 0 < at < len(text) or " " in (pair := text[at - 1 : at + 1]) or _UNSPACED.search(pair) for at in (start, end))
+
+
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
     """(offset, piece) of k + 1 pieces of nearly equal length."""
     cuts = [i * len(item) // (k + 1) for i in range(k + 2)]
@@ -103,6 +113,8 @@ class Matcher:
                 start = end + 1 - length
                 for at, offset in where:
                     _, item, k = self.items[at]
+                    if k == 0 and len(item) < SHORT and not bordered(text, start, end + 1):
+                        continue
                     windows.setdefault(at, []).append((max(0, start - offset - k), start - offset + len(item) + k))
         out = []
         for at, spans in windows.items():
@@ -120,6 +132,8 @@ class Matcher:
                 hit = myers(item, masks, text[x:y], k)
                 if hit and (best is None or hit[0] < best):
                     best, b = hit[0], x + hit[1]
+                    if best == 0:
+                        break
             if best is not None:
                 back, back_masks = self.reversed.get(at) or self.reversed.setdefault(at, (item[::-1], bit_masks(item[::-1])))
                 a = b - myers(back, back_masks, text[max(0, b - len(item) - best) : b][::-1], best)[1]
@@ -145,11 +159,11 @@ def _finder(items: tuple[tuple[int | None, str], ...], error_rate: float):
 
 
 def blocks(items: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
-    """The searched items, normalised, in blocks of at most ``limit`` characters (or one item)."""
+    """The items with letters or digits, normalised, in blocks of at most ``limit`` characters (or one item)."""
     block, size = [], 0
     for row in items.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
         text = normalise(row.text)
-        if text.count(" ") + 1 < MIN_WORDS:
+        if not text:
             continue
         if block and size + len(text) > limit:
             yield block
