@@ -13,7 +13,8 @@ can split it.  A run that dies before its append is repeated whole; an entry app
 as one, because findings are a set.
 
 Findings are (kind, start, end) in code points, end exclusive.  Besides the base kinds ``assign``,
-``access`` and ``hex``, rule ``pem`` adds the header lines of private keys in PEM form.
+``access`` and ``hex``, rule ``pem`` adds private keys in PEM form, from the BEGIN line to
+the END line; where END is missing before the next key, to the end of the base64 run.
 
 Edge cases: null text is the empty blob; repeated rows and null ids are answered row by row; an
 empty table gives an empty result; other columns are ignored; texts are scanned whole.
@@ -34,6 +35,9 @@ _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
+_PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
+_GAP = r"(?:[\s\"'+,>#*|]|\\[nrt])*+"  # between the lines of a key, also as a literal or a quotation
+_PEM_BODY = re.compile(rf"(?:{_GAP}(?:Proc-Type|DEK-Info|Version|Comment): [^\r\n\\]*)*+(?:{_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}})*+(?:{_GAP}(?:[A-Za-z0-9+/]{{1,15}}={{1,2}}|(?<=[\r\n])[A-Za-z0-9+/]{{1,15}}(?=[\r\n]|\Z)))?")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
@@ -53,7 +57,14 @@ def _hex(text: str) -> list[tuple[int, int]]:
 
 
 def _pem(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _PEM.finditer(text)] if "PRIVATE KEY-----" in text else []
+    if "PRIVATE KEY-----" not in text:
+        return []
+    heads = [m.span() for m in _PEM.finditer(text)]
+    out = []
+    for (a, b), limit in zip(heads, [x for x, _ in heads[1:]] + [len(text)]):
+        end = _PEM_END.search(text, b, limit) or _PEM_BODY.match(text, b, limit)
+        out.append((a, end.end()))
+    return out
 
 
 @dataclass(frozen=True)
@@ -70,7 +81,7 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
-RULES = (Rule("assign", 1, _assign), Rule("access", 1, _access), Rule("hex", 1, _hex), Rule("pem", 1, _pem, base=False))
+RULES = (Rule("assign", 1, _assign), Rule("access", 1, _access), Rule("hex", 1, _hex), Rule("pem", 3, _pem, base=False))
 
 FINDINGS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("rank", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("rule", T.StringType())]))
 LEDGER = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("rules", T.ArrayType(T.StringType())), T.StructField("findings", FINDINGS)])
