@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -57,6 +57,8 @@ FURNITURE = frozenset(
     newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments reply replies
     respond disqus widget widgets pagination pager toolbar skip skiplink copyright""".split()
 )
+#: elements of which a browser shows no text; head is left out, as one that is not closed holds the body
+INVISIBLE = frozenset("script style title noframes noscript template iframe object embed applet audio video canvas datalist".split())
 _CLOSES_P = BLOCKS - {"body", "html"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 _SCOPES = frozenset("table ul ol dl select body html article section div main aside nav header footer form td th".split())
@@ -134,6 +136,14 @@ def names(node: Node) -> list[str]:
     return _NAMES.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", said).lower()) if said != " " else []
 
 
+def invisible(node: Node, inside: bool) -> bool:
+    """Whether the element is not shown; ``inside`` does not matter."""
+    attrs = node.attrs
+    if node.tag in INVISIBLE or "hidden" in attrs or node.tag == "input" and attrs.get("type", "").lower() == "hidden":
+        return True
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
+
+
 def furniture(node: Node, inside: bool) -> bool:
     """Whether markup declares the element not to be content; ``inside`` an article, headers may be its title."""
     tag, attrs = node.tag, node.attrs
@@ -179,8 +189,8 @@ def subtrees(root: Node) -> dict[int, tuple[int, bool]]:
     return out
 
 
-def blocks(root: Node, deleted: set[int], inside: bool = False) -> list[tuple[str, float]]:
-    """(text, share of it in links) of each block below ``root``."""
+def blocks(root: Node, deleted: set[int], inside: bool = False, dropped: Callable[[Node, bool], bool] = furniture) -> list[tuple[str, float]]:
+    """(text, share of it in links) of each block below ``root``, without the elements that are ``dropped``."""
     out: list[tuple[str, float]] = []
     buffer: list[str] = []
     linked: list[str] = []
@@ -200,7 +210,7 @@ def blocks(root: Node, deleted: set[int], inside: bool = False) -> list[tuple[st
             buffer.append(x)
             if link:
                 linked.append(x)
-        elif id(x) in deleted or x is not root and furniture(x, within):
+        elif id(x) in deleted or x is not root and dropped(x, within):
             buffer.append(" ")
         else:
             if x.tag in ("br", "img", "wbr") or x.tag in VOID:

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .html import blocks, parse
+from .html import blocks, invisible, parse
 from .workspace import small_batches, spread
 
 VERSION = "WARC/1.1"
@@ -40,6 +40,9 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespa
 DATE = "2024-01-01T00:00:00Z"  # of synthetic responses
 RECORD = "type string, record_id string, target_uri string, refers_to string, date string, payload_digest string, block_digest string, headers string, block binary"
 
+_HTML = re.compile(r"""<!--.*?(?:-->|\Z)|<html(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*'|["'])*+)""", re.I | re.S)
+_LANG = re.compile(r"""(?:^|[\s"'/])lang\s*=\s*["']?\s*([A-Za-z0-9-]+)""", re.I)
+
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -59,26 +62,23 @@ def record_bytes(headers: str, block: bytes) -> bytes:
 
 def plain_text(payload: str) -> str:
     """All visible text of a page, a line per block; templates and navigation stay, as in a conversion record."""
-    root = parse(payload)
-    body = [n for n in _walk(root) if n.tag == "body"] or [root]
-    return "\n".join(t for t, _ in blocks(body[0], set()))
+    return "\n".join(t for t, _ in blocks(parse(payload), set(), dropped=invisible))
 
 
-def _walk(root):
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        yield node
-        stack += [c for c in reversed(node.children) if not isinstance(c, str)]
+def language(source: str) -> str | None:
+    """The lang attribute of the first html element that has one; comments hold no elements."""
+    for tag in _HTML.finditer(source):
+        if tag[1] and (said := _LANG.search(tag[1])):
+            return said[1].lower()
+    return None
 
 
 def derive(record_id: str, target_uri: str | None, date: str | None, http_headers: str, payload: bytes) -> list[tuple]:
     """The conversion and the metadata record of one response, as tuples in the order of RECORD."""
     source = payload.decode("utf-8", "replace")
     text = plain_text(source).encode()
-    language = re.search(r"<html[^>]*\slang=[\"']?([A-Za-z-]+)", source[:4096], re.I)
     payload_digest = digest(payload)
-    fields = [("source-payload-digest", payload_digest), ("source-payload-length", str(len(payload))), ("language", language[1].lower() if language else None)]
+    fields = [("source-payload-digest", payload_digest), ("source-payload-length", str(len(payload))), ("language", language(source))]
     fields += [("source-header", line) for line in http_headers.split("\r\n") if line]
     out = []
     for kind, content_type, block in (("conversion", "text/plain;charset=utf-8", text), ("metadata", "application/warc-fields", header_block(fields).encode())):
