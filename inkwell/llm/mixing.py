@@ -2,9 +2,11 @@
 
 Each source is one stream of words, its documents in a fixed order, cut into blocks of ``BLOCK``
 words.  Targets share all words by weight; a target stops at ``MAX_EPOCHS`` times its source and
-the excess goes to the others.  The mix is a sequence of slots, one block each, dealt to output
-shards: a shard takes the whole part of its expected count from each source and draws the rest
-multinomially from the fractions, with a generator seeded by the shard's number.  The j-th slot of
+the excess goes to the others.  A target is worth whole epochs of its source, taken outright, and a
+remainder of target / (mean words of the source's blocks) slots; a fraction of a slot is rounded up or
+down at random, so that it is kept on average.  The mix is a sequence of slots, one block each, dealt
+to output shards: a shard takes its even part of each source's slots, counted from an offset of the
+source that a generator with a fixed seed gives.  The j-th slot of
 a source maps to block ``perm(j mod n)`` under a pseudorandom permutation (a Feistel network with
 cycle walking) keyed by source and epoch, so a block recurs only in another epoch.  Slots join
 blocks by (source, index).
@@ -15,8 +17,8 @@ reach the driver, and go out again as a broadcast of at most ``MAX_SOURCES`` row
 
 Edge cases: null text has size 0 and takes nothing; a null source is a source of its own, last in
 order; null ids and repeated rows are answered row by row; an empty table gives an empty result; a
-source without words has target 0; other columns are ignored.  Sources of fewer than some dozen
-blocks meet their target only to within a block or so.
+source without words has target 0; other columns are ignored.  Each source meets its target to within
+a block, and exactly where the target is a whole number of epochs.
 """
 
 from __future__ import annotations
@@ -103,13 +105,30 @@ def shard_counts(shard: int, slots: int, share: np.ndarray, seed: int = SEED) ->
     return counts
 
 
-def _shards(slots: int, per_shard: int, share: list[float], seed: int):
+def slots_wanted(sizes: list[int], want: list[float], block: int = BLOCK) -> list[float]:
+    """Slots of each source whose words are its target on average: whole epochs, and the rest by mean block."""
+    out = []
+    for n, t in zip(sizes, want):
+        epochs = min(MAX_EPOCHS, int(t // n)) if n else 0
+        blocks = -(-n // block)
+        out.append(epochs * blocks + max(0.0, t - epochs * n) * blocks / n if n else 0.0)
+    return out
+
+
+def even_counts(shard: int, shards: int, slots: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """Blocks that a shard takes from each source; over all shards the whole part of ``slots``, or one more."""
+    offset = np.random.Generator(np.random.Philox(key=seed)).random(len(slots))
+    after, before = (np.floor(slots * (k / shards) + offset) for k in (shard + 1, shard))
+    return (after - before).astype(np.int64)
+
+
+def _shards(shards: int, slots: list[float], seed: int):
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = np.array(share)
+        wanted = np.array(slots)
         for batch in batches:
             rows = []
             for shard in batch.column(0).to_pylist():
-                counts = shard_counts(shard, min(per_shard, slots - shard * per_shard), p, seed)
+                counts = even_counts(shard, shards, wanted, seed)
                 rows += [(shard, int(s), int(counts[s])) for s in np.flatnonzero(counts)]
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["shard", "sidx", "n"])
@@ -162,13 +181,10 @@ class Mix:
         self.rows = ws.save(local.join(sums, ["sidx", "chunk"]).select("doc_id", "source", "size", "sidx", (F.col("base") + F.col("within")).alias("first")), "rows")
 
         blocks = [-(-n // block) for n in sizes]
-        total = sum(want)
-        slots = round(total / block)
-        if total and not slots:
-            slots = 1
-        per_shard = max(SHARD_SLOTS, -(-slots // MAX_SHARDS))
-        share = [t / total for t in want] if total else []
-        drawn = spark.range(-(-slots // per_shard)).mapInArrow(_shards(slots, per_shard, share, seed), "shard long, sidx long, n long")
+        slots = slots_wanted(sizes, want, block)
+        total = math.ceil(sum(slots))
+        shards = -(-total // max(SHARD_SLOTS, -(-total // MAX_SHARDS)))
+        drawn = spark.range(shards).mapInArrow(_shards(shards, slots, seed), "shard long, sidx long, n long")
         before = Window.partitionBy("sidx").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         drawn = ws.save(drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))), "shards")
         self.slots = drawn.repartition("shard", "sidx").mapInArrow(_slots(blocks, seed), "shard long, sidx long, slot long, block long")
