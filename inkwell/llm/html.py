@@ -4,7 +4,9 @@
    and children.  The distinct (host, hash) pairs of a page are counted per host over all pages.
 2. A subtree is a template of its host if it occurs on at least ``MIN_PAGES`` pages and on at least
    ``SHARE`` of the host's pages, or ``SHARE_INSIDE`` within an article, where a passage that
-   several articles quote must stay.
+   several articles quote must stay.  On large hosts a number of pages is enough, ``MANY`` or
+   ``MANY_INSIDE``, whatever their share: for subtrees of at least ``LONG`` words, which do not
+   recur by chance, and for shorter ones if they are on ``SHARE_SHORT`` of the pages.
 3. The second pass parses again, deletes template subtrees and what markup itself declares as
    furniture (navigation, headers, footers, sidebars, notices, adverts, forms, comments, scripts,
    styles), chooses the article, and joins its blocks.
@@ -35,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .workspace import Workspace, spread
 
 MIN_PAGES, SHARE, SHARE_INSIDE = 5, 0.5, 0.9
+MANY, MANY_INSIDE, LONG, SHARE_SHORT = 100, 1000, 4, 0.05
 LINK_DENSITY = 0.5
 
 _TOKEN = re.compile(r"""<(?:!--(.*?)(?:-->|\Z)|([!?][^>]*)>?|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z))""", re.DOTALL)
@@ -161,9 +164,9 @@ def furniture(node: Node, inside: bool) -> bool:
     return any(w in FURNITURE for w in said) or not inside and "header" in said
 
 
-def subtrees(root: Node) -> dict[int, tuple[int, bool]]:
-    """id(node) -> (hash, inside an article) of each block element with content below html and body."""
-    out: dict[int, tuple[int, bool]] = {}
+def subtrees(root: Node) -> dict[int, tuple[int, bool, bool]]:
+    """id(node) -> (hash, inside an article, of LONG words or more) of each block element with content below html and body."""
+    out: dict[int, tuple[int, bool, bool]] = {}
     order: list[tuple[Node, bool]] = []
     stack = [(root, False)]
     while stack:
@@ -172,20 +175,23 @@ def subtrees(root: Node) -> dict[int, tuple[int, bool]]:
         within = inside or node.tag in ("article", "main")
         stack += [(c, within) for c in node.children if isinstance(c, Node)]
     digests: dict[int, bytes] = {}
+    words: dict[int, int] = {}
     for node, inside in reversed(order):
         h = hashlib.blake2b(f"{node.tag}\0{node.attrs.get('class', '')}\0{node.attrs.get('id', '')}".encode("utf-8", "replace"), digest_size=8)
-        full = False
+        full, n = False, 0
         for c in node.children:
             if isinstance(c, str):
-                if words := " ".join(c.split()):
-                    h.update(b"\1" + words.encode("utf-8", "replace"))
+                if said := c.split():
+                    h.update(b"\1" + " ".join(said).encode("utf-8", "replace"))
                     full = True
+                    n += max(len(said), sum(map(len, said)) // 16)  # also where words have no spaces
             else:
                 h.update(b"\2" + digests[id(c)])
                 full = True
-        digests[id(node)] = h.digest()
+                n += words[id(c)]
+        digests[id(node)], words[id(node)] = h.digest(), n
         if full and node.tag in BLOCKS and node.tag not in ("html", "body"):
-            out[id(node)] = (int.from_bytes(h.digest(), "little", signed=True), inside)
+            out[id(node)] = (int.from_bytes(h.digest(), "little", signed=True), inside, n >= LONG)
     return out
 
 
@@ -251,14 +257,15 @@ def main_text(root: Node, deleted: set[int]) -> str:
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pages, hosts, hashes, insides = [], [], [], []
+        pages, hosts, hashes, insides, longs = [], [], [], [], []
         for page_id, host, html in zip(batch.column("page_id").to_pylist(), batch.column("host").to_pylist(), batch.column("html")):
             found = set(subtrees(parse(html.as_py() or "")).values())
             pages += [page_id] * len(found)
             hosts += [host] * len(found)
-            hashes += [h for h, _ in found]
-            insides += [i for _, i in found]
-        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(insides, pa.bool_())], names=["page_id", "host", "hash", "inside"])
+            hashes += [h for h, _, _ in found]
+            insides += [i for _, i, _ in found]
+            longs += [w for _, _, w in found]
+        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(insides, pa.bool_()), pa.array(longs, pa.bool_())], names=["page_id", "host", "hash", "inside", "long"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,11 +289,12 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     ws = Workspace(spark, "html")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     hosted = pages.withColumn("host", host(F.col("url")))
-    found = ws.save(hosted.where("page_id is not null").select("page_id", "host", "html").mapInArrow(_hashes, "page_id long, host string, hash long, inside boolean"), "hashes")
+    found = ws.save(hosted.where("page_id is not null").select("page_id", "host", "html").mapInArrow(_hashes, "page_id long, host string, hash long, inside boolean, long boolean"), "hashes")
     sizes = hosted.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    counted = found.groupBy("host", "hash", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+    counted = found.groupBy("host", "hash", "inside", "long").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
     share = F.when(F.col("inside"), F.lit(SHARE_INSIDE)).otherwise(F.lit(SHARE))
-    templates = ws.save(counted.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash", "inside"), "templates")
+    many = (F.col("n") >= F.when(F.col("inside"), F.lit(MANY_INSIDE)).otherwise(F.lit(MANY))) & (F.col("long") | (F.col("n") >= SHARE_SHORT * F.col("pages")))
+    templates = ws.save(counted.join(sizes, "host").where((F.col("n") >= share * F.col("pages")) | many).select("host", "hash", "inside"), "templates")
     removed = found.join(templates, ["host", "hash", "inside"]).groupBy("page_id").agg(F.collect_set("hash").alias("removed"))
     return pages.join(ws.save(removed, "removed"), "page_id", "left").select("page_id", "url", "html", "removed").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
