@@ -1,27 +1,32 @@
 """Main text of web pages after removal of site templates.
 
 1. Each page is parsed once; every block element's subtree gets a hash of its tag, class, id, text
-   and children.  The distinct (host, hash) pairs of a page are counted per host over all pages.
+   and children.  The distinct subtrees of a page are counted per host over all different pages:
+   rows and mirrors with the same main text count as one page, however many URLs they have.
 2. A subtree is a template of its host if it occurs on at least ``MIN_PAGES`` pages and on at least
-   ``SHARE`` of the host's pages, or ``SHARE_INSIDE`` within an article, where a passage that
-   several articles quote must stay.  On large hosts a number of pages is enough, ``MANY`` or
-   ``MANY_INSIDE``, whatever their share: for subtrees of at least ``LONG`` words, which do not
-   recur by chance, and for shorter ones if they are on ``SHARE_SHORT`` of the pages.
+   ``SHARE`` of the host's pages, or ``MIN_INSIDE`` and ``SHARE_INSIDE`` within an article, where a
+   passage that several articles quote must stay.  On large hosts a number of pages is enough,
+   ``MANY`` or ``MANY_INSIDE``, whatever their share: for subtrees of at least ``LONG`` words, which
+   do not recur by chance, and for shorter ones if they are on ``SHARE_SHORT`` of the pages.  An
+   article or main element and what holds one is never a template.
 3. The second pass parses again, deletes template subtrees and what markup itself declares as
    furniture (navigation, headers, footers, sidebars, notices, adverts, forms, comments, scripts,
-   styles), chooses the article, and joins its blocks.
+   styles), and joins the blocks of all articles.  A class or id declares furniture if all its words
+   are names of furniture or of layout, at least one of furniture: ``ad-slot`` does, ``social-history``
+   does not.
 
-The counts are combined map-side; a hot host is no group anywhere: templates come back to pages by
-a join on (host, hash) and an aggregate per page.
+Rows of equal host and html are known by one digest, by which templates come back to them.  Counts are
+combined map-side; a hot host or a hot page is no group anywhere.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 by two line feeds in page order.
 
 Edge cases: null or empty html gives an empty text; a null url is a host of its own; pages without
-an article or main element fall back to the body without link-dense blocks; unclosed and
-misnested tags are repaired as browsers do in the common cases; repeated rows of a page_id are
-answered row by row but count once per host and hash; a null page_id gets only declared furniture
-removed; an empty table gives an empty result; other columns are ignored.
+an article or main element fall back to the body without menus, that is lists of links alone
+and blocks of three or more links with nothing but signs between them; unclosed and misnested tags
+are repaired as browsers do in the common cases; repeated rows, rows of one page_id under several
+URLs and null ids are answered row by row; where nothing but templates is left on a page its text is
+empty; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,9 +41,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .workspace import Workspace, spread
 
-MIN_PAGES, SHARE, SHARE_INSIDE = 5, 0.5, 0.9
+MIN_PAGES, SHARE, MIN_INSIDE, SHARE_INSIDE = 3, 0.5, 5, 0.9
 MANY, MANY_INSIDE, LONG, SHARE_SHORT = 100, 1000, 4, 0.05
-LINK_DENSITY = 0.5
 
 _TOKEN = re.compile(r"""<(?:!--(.*?)(?:-->|\Z)|([!?][^>]*)>?|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z))""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -60,6 +64,12 @@ FURNITURE = frozenset(
     newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments reply replies
     respond disqus widget widgets pagination pager toolbar skip skiplink copyright""".split()
 )
+#: words that say where or how something is shown
+LAYOUT = frozenset(
+    """box bar block wrap wrapper container content section area slot list item items link links button buttons icons post posts top bottom left
+    right site page global primary secondary main inner outer header head title body text unit panel col column row group form thread wp js
+    media field fixed sticky mobile desktop small large first last story stories article articles""".split()
+)
 #: elements of which a browser shows no text; head is left out, as one that is not closed holds the body
 INVISIBLE = frozenset("script style title noframes noscript template iframe object embed applet audio video canvas datalist".split())
 _CLOSES_P = BLOCKS - {"body", "html"}
@@ -133,10 +143,18 @@ def parse(source: str) -> Node:
     return root
 
 
-def names(node: Node) -> list[str]:
-    """The words of class and id."""
+def names(node: Node) -> list[list[str]]:
+    """The words of each class and of the id."""
     said = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
-    return _NAMES.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", said).lower()) if said != " " else []
+    return [_NAMES.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()) for x in said.split()]
+
+
+def declared(said: list[list[str]], kinds: frozenset[str]) -> bool:
+    """Whether a class or id consists of words of ``kinds``, layout and numbers, one at least of ``kinds``."""
+    return any(any(w in kinds for w in x) and all(w in kinds or w in LAYOUT or w.isdigit() for w in x) for x in said)
+
+
+_COMMENTS = frozenset("comment comments reply replies respond disqus".split())
 
 
 def invisible(node: Node, inside: bool) -> bool:
@@ -158,10 +176,12 @@ def furniture(node: Node, inside: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    if tag in ("html", "body", "main") or tag == "article" and attrs.get("itemprop") != "comment" and "comment" not in names(node):
+    if tag in ("html", "body", "main"):
         return False
     said = names(node)
-    return any(w in FURNITURE for w in said) or not inside and "header" in said
+    if tag == "article":
+        return attrs.get("itemprop") == "comment" or declared(said, _COMMENTS)
+    return declared(said, FURNITURE) or not inside and any(x == ["header"] or "header" in x and declared([x], frozenset(["header"])) for x in said)
 
 
 def subtrees(root: Node) -> dict[int, tuple[int, bool, bool]]:
@@ -176,9 +196,12 @@ def subtrees(root: Node) -> dict[int, tuple[int, bool, bool]]:
         stack += [(c, within) for c in node.children if isinstance(c, Node)]
     digests: dict[int, bytes] = {}
     words: dict[int, int] = {}
+    holders: set[int] = set()  # articles and what holds one
     for node, inside in reversed(order):
         h = hashlib.blake2b(f"{node.tag}\0{node.attrs.get('class', '')}\0{node.attrs.get('id', '')}".encode("utf-8", "replace"), digest_size=8)
         full, n = False, 0
+        if node.tag in ("article", "main") and node.parent is not None or id(node) in holders:
+            holders |= {id(node), id(node.parent)}
         for c in node.children:
             if isinstance(c, str):
                 if said := c.split():
@@ -190,22 +213,37 @@ def subtrees(root: Node) -> dict[int, tuple[int, bool, bool]]:
                 full = True
                 n += words[id(c)]
         digests[id(node)], words[id(node)] = h.digest(), n
-        if full and node.tag in BLOCKS and node.tag not in ("html", "body"):
+        if full and node.tag in BLOCKS and node.tag not in ("html", "body") and id(node) not in holders:
             out[id(node)] = (int.from_bytes(h.digest(), "little", signed=True), inside, n >= LONG)
     return out
 
 
-def blocks(root: Node, deleted: set[int], inside: bool = False, dropped: Callable[[Node, bool], bool] = furniture) -> list[tuple[str, float]]:
-    """(text, share of it in links) of each block below ``root``, without the elements that are ``dropped``."""
-    out: list[tuple[str, float]] = []
+def _links_only(node: Node) -> int:
+    """The number of links of a subtree in which all letters and digits belong to links; else 0."""
+    found, stack = 0, [(node, False)]
+    while stack:
+        x, link = stack.pop()
+        if isinstance(x, str):
+            if not link and any(c.isalnum() for c in x):
+                return 0
+        else:
+            found += x.tag == "a"
+            stack += [(c, link or x.tag == "a") for c in x.children]
+    return found
+
+
+def blocks(root: Node, deleted: set[int], inside: bool = False, dropped: Callable[[Node, bool], bool] = furniture, menus: bool = True) -> list[str]:
+    """The text of each block below ``root``, without the elements that are ``dropped``; without ``menus``, lists and rows of links go too."""
+    out: list[str] = []
     buffer: list[str] = []
-    linked: list[str] = []
+    plain, links = False, 0  # of the block: has a letter or digit outside links; its links
 
     def flush() -> None:
-        if text := " ".join("".join(buffer).split()):
-            out.append((text, len(" ".join("".join(linked).split())) / len(text)))
+        nonlocal plain, links
+        if (text := " ".join("".join(buffer).split())) and (menus or plain or links < 3):
+            out.append(text)
         buffer.clear()
-        linked.clear()
+        plain, links = False, 0
 
     stack: list[tuple[object, bool, bool]] = [(root, inside, False)]
     while stack:
@@ -214,9 +252,8 @@ def blocks(root: Node, deleted: set[int], inside: bool = False, dropped: Callabl
             flush()
         elif isinstance(x, str):
             buffer.append(x)
-            if link:
-                linked.append(x)
-        elif id(x) in deleted or x is not root and dropped(x, within):
+            plain = plain or not (menus or link) and any(c.isalnum() for c in x)
+        elif id(x) in deleted or x is not root and dropped(x, within) or not menus and x.tag in ("ul", "ol", "dl") and _links_only(x):
             buffer.append(" ")
         else:
             if x.tag in ("br", "img", "wbr") or x.tag in VOID:
@@ -224,6 +261,7 @@ def blocks(root: Node, deleted: set[int], inside: bool = False, dropped: Callabl
                 if x.tag == "hr":
                     flush()
                 continue
+            links += x.tag == "a"
             if x.tag in BLOCKS:
                 flush()
                 stack.append((None, within, link))
@@ -234,38 +272,42 @@ def blocks(root: Node, deleted: set[int], inside: bool = False, dropped: Callabl
 
 
 def main_text(root: Node, deleted: set[int]) -> str:
-    """The article's blocks joined by an empty line."""
+    """The blocks of all articles, or of the main elements, or of the body, joined by an empty line."""
     articles, mains, body = [], [], root
-    stack = [(root, False)]
+    stack = [(root, False, False)]
     while stack:
-        node, found = stack.pop()
-        if id(node) in deleted or node is not root and node.tag != "head" and furniture(node, found):
+        node, article, main = stack.pop()
+        if id(node) in deleted or node is not root and node.tag != "head" and furniture(node, article):
             continue
         if node.tag == "body":
             body = node
-        if node.tag == "main" or node.attrs.get("role", "").lower() == "main":
+        if (node.tag == "main" or node.attrs.get("role", "").lower() == "main") and not main:
             mains.append(node)
-        if node.tag == "article" and not found:
+            main = True
+        if node.tag == "article" and not article:
             articles.append(node)
-            found = True
-        stack += [(c, found) for c in reversed(node.children) if isinstance(c, Node)]
+            article = True
+        stack += [(c, article, main) for c in reversed(node.children) if isinstance(c, Node)]
     for places in (articles, mains):
-        if texts := [t for t in (blocks(p, deleted, True) for p in places) if t]:
-            return "\n\n".join(t for t, _ in max(texts, key=lambda b: sum(len(t) for t, _ in b)))
-    return "\n\n".join(t for t, links in blocks(body, deleted) if links < LINK_DENSITY)
+        if texts := [t for p in places for t in blocks(p, deleted, True)]:
+            return "\n\n".join(texts)
+    return "\n\n".join(blocks(body, deleted, menus=False))
+
+
+_TREES = "page binary, host string, same long, subtrees array<struct<hash:long,inside:boolean,long:boolean>>"
+_SUBTREES = pa.list_(pa.struct([("hash", pa.int64()), ("inside", pa.bool_()), ("long", pa.bool_())]))
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct subtrees of each page, and a hash of its main text before templates go."""
     for batch in batches:
-        pages, hosts, hashes, insides, longs = [], [], [], [], []
-        for page_id, host, html in zip(batch.column("page_id").to_pylist(), batch.column("host").to_pylist(), batch.column("html")):
-            found = set(subtrees(parse(html.as_py() or "")).values())
-            pages += [page_id] * len(found)
-            hosts += [host] * len(found)
-            hashes += [h for h, _, _ in found]
-            insides += [i for _, i, _ in found]
-            longs += [w for _, _, w in found]
-        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(insides, pa.bool_()), pa.array(longs, pa.bool_())], names=["page_id", "host", "hash", "inside", "long"])
+        same, found = [], []
+        for html in batch.column("html"):
+            root = parse(html.as_py())
+            found.append([dict(hash=h, inside=i, long=w) for h, i, w in sorted(set(subtrees(root).values()))])
+            text = hashlib.blake2b(main_text(root, set()).encode("utf-8", "replace"), digest_size=8).digest()
+            same.append(int.from_bytes(text, "little", signed=True))
+        yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("host"), pa.array(same, pa.int64()), pa.array(found, _SUBTREES)], names=["page", "host", "same", "subtrees"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,19 +326,26 @@ def host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for each row of ``pages`` (page_id, url, html)."""
+def extract(spark: SparkSession, pages: DataFrame, templates: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars for each row of ``pages`` (page_id, url, html); without ``templates`` only declared furniture goes."""
     ws = Workspace(spark, "html")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    hosted = pages.withColumn("host", host(F.col("url")))
-    found = ws.save(hosted.where("page_id is not null").select("page_id", "host", "html").mapInArrow(_hashes, "page_id long, host string, hash long, inside boolean, long boolean"), "hashes")
-    sizes = hosted.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    counted = found.groupBy("host", "hash", "inside", "long").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+    result = "page_id long, url string, text string, n_chars long"
+    if not templates:
+        return pages.withColumn("removed", F.lit(None).cast("array<long>")).mapInArrow(_texts, result)
+    hosted = pages.withColumn("host", host(F.col("url"))).withColumn("page", F.unhex(F.sha2(F.concat_ws("\n", "host", "html"), 256)))
+    found = ws.save(hosted.where("html <> ''").select("page", "host", "html").mapInArrow(_hashes, _TREES), "subtrees")
+    different = found.groupBy("host", "same").agg(F.min("page").alias("page"))
+    sizes = different.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    # one row for each distinct page; equal rows hold equal subtrees
+    once = ws.save(found.groupBy("page").agg(F.any_value("host").alias("host"), F.any_value("subtrees").alias("subtrees")), "once")
+    each = once.select("page", "host", F.explode("subtrees").alias("t")).select("page", "host", "t.*")
+    counted = each.join(different.select("page"), "page", "left_semi").groupBy("host", "hash", "inside", "long").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("inside"), F.lit(MIN_INSIDE)).otherwise(F.lit(MIN_PAGES)))
     share = F.when(F.col("inside"), F.lit(SHARE_INSIDE)).otherwise(F.lit(SHARE))
     many = (F.col("n") >= F.when(F.col("inside"), F.lit(MANY_INSIDE)).otherwise(F.lit(MANY))) & (F.col("long") | (F.col("n") >= SHARE_SHORT * F.col("pages")))
-    templates = ws.save(counted.join(sizes, "host").where((F.col("n") >= share * F.col("pages")) | many).select("host", "hash", "inside"), "templates")
-    removed = found.join(templates, ["host", "hash", "inside"]).groupBy("page_id").agg(F.collect_set("hash").alias("removed"))
-    return pages.join(ws.save(removed, "removed"), "page_id", "left").select("page_id", "url", "html", "removed").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    chosen = ws.save(counted.join(sizes, "host").where((F.col("n") >= share * F.col("pages")) | many).select("host", "hash", "inside"), "templates")
+    removed = each.join(chosen, ["host", "hash", "inside"]).groupBy("page").agg(F.collect_set("hash").alias("removed"))
+    return hosted.join(ws.save(removed, "removed"), "page", "left").select("page_id", "url", "html", "removed").mapInArrow(_texts, result)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,7 @@ def record_bytes(headers: str, block: bytes) -> bytes:
 
 def plain_text(payload: str) -> str:
     """All visible text of a page, a line per block; templates and navigation stay, as in a conversion record."""
-    return "\n".join(t for t, _ in blocks(parse(payload), set(), dropped=invisible))
+    return "\n".join(blocks(parse(payload), set(), dropped=invisible))
 
 
 def language(source: str) -> str | None:
