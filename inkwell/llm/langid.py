@@ -3,23 +3,26 @@
 Texts become streams of lower-cased letters with single spaces in place of anything else; their
 1- to 3-grams are hashed to ``FEATURES`` counters.  Weights are TF-IDF, scaled to length one; the
 document frequencies come from all training documents.  The classifier is fitted by
-follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties on a bounded sample: about
-``SAMPLE`` documents of each language, chosen by a hash of their id.  Every fifth of them is held
-out of the fit and sets the softmax temperature.
+follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties on a bounded sample:
+``SAMPLE`` different texts of each language (all of them where there are fewer), those with the
+smallest hashes.  Every fifth of a language is held out of the fit and sets the softmax temperature.
 
 Training documents are those whose crc32(doc_id as text) mod 3 is not 1 and whose ``lang`` is not
 null; only their text and lang are used.  A prediction sees the text alone.
 
 Edge cases: null text, or text without a letter, gives ``und`` with score 0; without any training
 document every text does; a null doc_id is never used for training and counts as not held out;
-repeated rows are answered row by row; an empty table gives an empty result; other columns are
-ignored.  The number of languages is assumed to be small (one row each reaches the driver).
+repeated rows are answered row by row, and equal texts of a language count once in the sample; a text
+under two languages is a sample of both; an empty table gives an empty result; other columns are
+ignored.  The number of languages is assumed to be small: one row each and ``SAMPLE`` sparse rows of at
+most ``FEATURES`` counts reach the driver.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -170,23 +173,18 @@ class Model:
         return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Model:
-    """FTRL-proximal with per-coordinate rates on (lang, feature ids, counts), then the temperature."""
-    langs = sorted({r[0] for r in rows})
-    k = len(langs)
-    at = {c: i for i, c in enumerate(langs)}
-    model = Model(langs, idf, np.zeros((len(idf), k)), np.zeros(k))
-    held = [r for i, r in enumerate(rows) if i % 5 == 4] or rows
-    train = [r for i, r in enumerate(rows) if i % 5 != 4]
-    z, n = np.zeros((len(idf) + 1, k)), np.zeros((len(idf) + 1, k))
-    prepared = []
-    for lang, ids, counts in train:
-        v = counts * idf[ids]
-        prepared.append((at[lang], np.r_[ids, len(idf)], np.r_[v / (np.linalg.norm(v) or 1.0), 1.0]))
-    for _ in range(EPOCHS):
-        for y, ids, v in prepared:
+def weight(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The minimiser of a coordinate's linearised loss with elastic net, given its state."""
+    return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+
+
+def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], size: int, classes: int, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights (size x classes) after FTRL-proximal steps with per-coordinate rates over (class, feature ids, values)."""
+    z, n = np.zeros((size, classes)), np.zeros((size, classes))
+    for _ in range(epochs):
+        for y, ids, v in rows:
             zi, ni = z[ids], n[ids]
-            w = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
+            w = weight(zi, ni)
             s = v @ w
             p = np.exp(s - s.max())
             p /= p.sum()
@@ -195,31 +193,71 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Mode
             g2 = g * g
             z[ids] = zi + g - (np.sqrt(ni + g2) - np.sqrt(ni)) / ALPHA * w
             n[ids] = ni + g2
-    w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
-    model.weights, model.bias = w[:-1], w[-1]
-    logits = np.array([model.logits(ids, counts) for _, ids, counts in held])
-    y = np.array([at[r[0]] for r in held])
+    return weight(z, n)
+
 
-    def loss(t: float) -> float:
-        s = logits / math.exp(t)
-        s = s - s.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
+def log_loss(logits: np.ndarray, y: np.ndarray, temperature: float) -> float:
+    s = logits / temperature
+    s = s - s.max(axis=1, keepdims=True)
+    return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
 
+
+def temper(logits: np.ndarray, y: np.ndarray) -> float:
+    """The temperature in 0.05 to 20 of the least log loss, by golden sections of its logarithm."""
     lo, hi = math.log(0.05), math.log(20.0)
     for _ in range(60):
         a, b = lo + (hi - lo) * 0.382, lo + (hi - lo) * 0.618
-        lo, hi = (lo, b) if loss(a) <= loss(b) else (a, hi)
-    model.temperature = math.exp((lo + hi) / 2)
+        lo, hi = (lo, b) if log_loss(logits, y, math.exp(a)) <= log_loss(logits, y, math.exp(b)) else (a, hi)
+    return math.exp((lo + hi) / 2)
+
+
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Model:
+    """A model of (lang, feature ids, counts): weights by ``ftrl``, temperature from every fifth row of a language."""
+    langs = sorted({r[0] for r in rows})
+    at = {c: i for i, c in enumerate(langs)}
+    seen: Counter = Counter()
+    train, held = [], []
+    for row in rows:
+        seen[row[0]] += 1
+        (held if seen[row[0]] % 5 == 0 else train).append(row)
+    prepared = []
+    for lang, ids, counts in train:
+        v = counts * idf[ids]
+        prepared.append((at[lang], np.r_[ids, len(idf)], np.r_[v / (np.linalg.norm(v) or 1.0), 1.0]))
+    w = ftrl(prepared, len(idf) + 1, len(langs))
+    model = Model(langs, idf, w[:-1], w[-1])
+    held = held or train
+    model.temperature = temper(np.array([model.logits(ids, counts) for _, ids, counts in held]), np.array([at[r[0]] for r in held]))
     return model
 
 
+def sample_keys(spark: SparkSession, usable: DataFrame, sample: int) -> DataFrame | None:
+    """(lang, key) of the ``sample`` different texts of each language with the smallest keys; None without any text."""
+    keys = usable.select("lang", "key").distinct()
+    sizes = {r.lang: r.n for r in keys.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    if not sizes:
+        return None
+    chosen: dict[str, list] = {}
+    wanted = {lang: 2.0 * sample / n for lang, n in sizes.items()}
+    while wanted:  # a share of twice the sample holds it all but surely; where not, the share grows
+        limits = spark.createDataFrame([(lang, int(min(1.0, share) * (1 << 30))) for lang, share in wanted.items()], "lang string, most long")
+        part = keys.join(F.broadcast(limits), "lang").where(F.pmod("key", F.lit(1 << 30)) < F.col("most")).select("lang", "key")
+        found: dict[str, list] = {lang: [] for lang in wanted}
+        for r in part.collect():  # about twice the sample of each language
+            found[r.lang].append((r.key % (1 << 30), r.key))
+        done = [lang for lang, rows in found.items() if len(rows) >= min(sample, sizes[lang])]
+        chosen |= {lang: sorted(found[lang])[:sample] for lang in done}
+        wanted = {lang: 2 * share for lang, share in wanted.items() if lang not in done}
+    return spark.createDataFrame([(lang, key) for lang, rows in chosen.items() for _, key in rows], "lang string, key long")
+
+
 def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from the training documents of ``docs`` (doc_id, text, lang); None if there are none."""
     small_batches(spark)
-    usable = docs.where("doc_id is not null and lang is not null and text is not null").withColumn("order", F.xxhash64(F.col("doc_id").cast("string")))
-    usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).select("order", "lang", "text")
-    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
-    if not sizes:
+    usable = docs.where("doc_id is not null and lang is not null and text is not null")
+    usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).select("lang", "text", F.xxhash64("text").alias("key"))
+    keys = sample_keys(spark, usable, sample)
+    if keys is None:
         return None
     parts = usable.select("text").mapInArrow(_document_frequencies, "part int, df binary")
     parts = parts.repartition(64, "part").mapInArrow(_sum_parts, "part int, df binary")
@@ -227,9 +265,8 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model |
     n = int(summed.pop(64)[0])
     df = np.concatenate([summed[i] for i in range(64)])
     idf = np.log((1 + n) / (1 + df)) + 1
-    share = F.create_map(*[F.lit(x) for lang, m in sizes.items() for x in (lang, min(1.0, sample / m))])
-    chosen = usable.where(F.pmod("order", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    rows = chosen.mapInArrow(_sparse, "order long, lang string, ids binary, counts binary").collect()  # bounded by sample x languages
+    chosen = usable.join(F.broadcast(keys), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    rows = chosen.select(F.col("key").alias("order"), "lang", "text").mapInArrow(_sparse, "order long, lang string, ids binary, counts binary").collect()  # sample x languages rows at most
     rows.sort(key=lambda r: (r.order, r.lang))
     return fit([(r.lang, np.frombuffer(r.ids, np.int32).astype(np.int64), np.frombuffer(r.counts, np.int32).astype(float)) for r in rows], idf)
 
