@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .sampling import smallest_keys
 from .textvec import buffers, slices
 from .workspace import small_batches, spread
 
@@ -231,32 +232,12 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Mode
     return model
 
 
-def sample_keys(spark: SparkSession, usable: DataFrame, sample: int) -> DataFrame | None:
-    """(lang, key) of the ``sample`` different texts of each language with the smallest keys; None without any text."""
-    keys = usable.select("lang", "key").distinct()
-    sizes = {r.lang: r.n for r in keys.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
-    if not sizes:
-        return None
-    chosen: dict[str, list] = {}
-    wanted = {lang: 2.0 * sample / n for lang, n in sizes.items()}
-    while wanted:  # a share of twice the sample holds it all but surely; where not, the share grows
-        limits = spark.createDataFrame([(lang, int(min(1.0, share) * (1 << 30))) for lang, share in wanted.items()], "lang string, most long")
-        part = keys.join(F.broadcast(limits), "lang").where(F.pmod("key", F.lit(1 << 30)) < F.col("most")).select("lang", "key")
-        found: dict[str, list] = {lang: [] for lang in wanted}
-        for r in part.collect():  # about twice the sample of each language
-            found[r.lang].append((r.key % (1 << 30), r.key))
-        done = [lang for lang, rows in found.items() if len(rows) >= min(sample, sizes[lang])]
-        chosen |= {lang: sorted(found[lang])[:sample] for lang in done}
-        wanted = {lang: 2 * share for lang, share in wanted.items() if lang not in done}
-    return spark.createDataFrame([(lang, key) for lang, rows in chosen.items() for _, key in rows], "lang string, key long")
-
-
 def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from the training documents of ``docs`` (doc_id, text, lang); None if there are none."""
     small_batches(spark)
     usable = docs.where("doc_id is not null and lang is not null and text is not null")
     usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).select("lang", "text", F.xxhash64("text").alias("key"))
-    keys = sample_keys(spark, usable, sample)
+    keys = smallest_keys(spark, usable, "lang", sample)
     if keys is None:
         return None
     parts = usable.select("text").mapInArrow(_document_frequencies, "part int, df binary")

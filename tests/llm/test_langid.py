@@ -5,6 +5,7 @@ import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
 from inkwell.llm import langid
+from inkwell.llm.sampling import smallest_keys
 
 
 def test_held_out_accuracy(spark, small):
@@ -87,7 +88,7 @@ def test_the_sample_is_exact(spark):
     usable = spark.createDataFrame([("de" if i < 90 else "en", t) for i, t in enumerate(texts) for _ in range(1 + 40 * (i == 3))], "lang string, text string").selectExpr("lang", "text", "xxhash64(text) AS key")
     every = {(r.lang, r.key) for r in usable.collect()}
     for sample in (1, 20, 1000):
-        got = langid.sample_keys(spark, usable, sample).collect()
+        got = smallest_keys(spark, usable, "lang", sample).collect()
         want = {(lang, k) for lang in ("de", "en") for k in sorted((k for la, k in every if la == lang), key=lambda k: (k % (1 << 30), k))[:sample]}
         assert {(r.lang, r.key) for r in got} == want and len(got) == len(want)
 
