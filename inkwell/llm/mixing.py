@@ -4,19 +4,21 @@ Each source is one stream of words, its documents in a fixed order, cut into blo
 words.  Targets share all words by weight; a target stops at ``MAX_EPOCHS`` times its source and
 the excess goes to the others.  A target is worth whole epochs of its source, taken outright, and a
 remainder of target / (mean words of the source's blocks) slots; a fraction of a slot is rounded up or
-down at random, so that it is kept on average.  The mix is a sequence of slots, one block each, dealt
-to output shards: a shard takes its even part of each source's slots, counted from an offset of the
-source that a generator with a fixed seed gives.  The j-th slot of
-a source maps to block ``perm(j mod n)`` under a pseudorandom permutation (a Feistel network with
-cycle walking) keyed by source and epoch, so a block recurs only in another epoch.  Slots join
-blocks by (source, index).
-
-Stream offsets come from two-level prefix sums: documents fall into about sqrt(rows) hash chunks,
-so neither a hot source nor the number of documents makes a large window.  Only per-source totals
-reach the driver, and go out again as a broadcast of at most ``MAX_SOURCES`` rows.
+down at random, so that it is kept on average.  The mix is a sequence of slots, one block each, cut
+into output shards of ``SHARD_SLOTS``.  A shard's source counts are a multinomial draw, conditioned on
+the totals of all shards, which keeps every source at its target: the slots are split in two, the
+sources' counts of a half drawn from the multivariate hypergeometric distribution by a generator keyed by
+seed and half, and so on down to single shards.  So any task draws its shards alone, with the place of
+each in its source's slots, and reruns agree.  The j-th slot of a source maps to block ``perm(j mod n)``
+under a pseudorandom permutation (a Feistel network with cycle walking) keyed by source and epoch, so a
+block recurs only in another epoch.  Slots join blocks by (source, index).
+
+Stream offsets come from two-level prefix sums over the distinct (source, id, size): they fall into about
+sqrt(rows) hash chunks, so neither a hot source nor a repeated id nor the number of documents makes a
+large window.  One row of each source reaches the driver, which plans the targets.
 
 Edge cases: null text has size 0 and takes nothing; a null source is a source of its own, last in
-order; null ids and repeated rows are answered row by row; an empty table gives an empty result; a
+order; null ids and repeated rows are answered row by row, each with a place of its own; an empty table gives an empty result; a
 source without words has target 0; other columns are ignored.  Each source meets its target to within
 a block, and exactly where the target is a whole number of epochs.
 """
@@ -37,8 +39,11 @@ BLOCK = 64
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 SEED = 17
-SHARD_SLOTS, MAX_SHARDS = 4096, 4096
-MAX_SOURCES = 1_000_000
+SHARD_SLOTS = 4096
+TASK_SLOTS = 1 << 20  # most slots of a task
+BROADCAST_SOURCES = 100_000  # totals of more sources are joined by a shuffle
+COPIES = 1024  # rows that one row is unfolded to
+_DRAWN = 10**9  # the generator draws from fewer slots than this
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,17 +99,6 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def shard_counts(shard: int, slots: int, share: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """Blocks that a shard takes from each source."""
-    expected = slots * share
-    counts = np.floor(expected).astype(np.int64)
-    rest, frac = slots - int(counts.sum()), expected - counts
-    if rest > 0:
-        rng = np.random.Generator(np.random.Philox(key=[seed, shard]))
-        counts += rng.multinomial(rest, frac / frac.sum())
-    return counts
-
-
 def slots_wanted(sizes: list[int], want: list[float], block: int = BLOCK) -> list[float]:
     """Slots of each source whose words are its target on average: whole epochs, and the rest by mean block."""
     out = []
@@ -115,38 +109,64 @@ def slots_wanted(sizes: list[int], want: list[float], block: int = BLOCK) -> lis
     return out
 
 
-def even_counts(shard: int, shards: int, slots: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """Blocks that a shard takes from each source; over all shards the whole part of ``slots``, or one more."""
-    offset = np.random.Generator(np.random.Philox(key=seed)).random(len(slots))
-    after, before = (np.floor(slots * (k / shards) + offset) for k in (shard + 1, shard))
-    return (after - before).astype(np.int64)
+def whole_slots(slots: list[float], seed: int = SEED) -> np.ndarray:
+    """Whole numbers of slots, rounded up with the fraction as probability."""
+    return np.floor(np.array(slots, float) + np.random.Generator(np.random.Philox(key=seed)).random(len(slots))).astype(np.int64)
 
 
-def _shards(shards: int, slots: list[float], seed: int):
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.array(slots)
-        for batch in batches:
-            rows = []
-            for shard in batch.column(0).to_pylist():
-                counts = even_counts(shard, shards, wanted, seed)
-                rows += [(shard, int(s), int(counts[s])) for s in np.flatnonzero(counts)]
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["shard", "sidx", "n"])
+def split(counts: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each source are among ``left`` of all slots, drawn without replacement.
 
-    return draw
+    Beyond the generator's range counts are the rounded shares, from which chance would move a share by its 30000th.
+    """
+    total = int(counts.sum())
+    if total < _DRAWN:
+        return rng.multivariate_hypergeometric(counts, left, method="marginals")
+    exact = counts * (left / total)
+    out = np.minimum(np.floor(exact).astype(np.int64), counts)
+    for i in np.argsort(out - exact, kind="stable"):
+        if (rest := left - int(out.sum())) <= 0:
+            break
+        out[i] += min(rest, max(1, rest // len(out)), int(counts[i] - out[i]))
+    return out
 
 
-def _slots(blocks: list[int], seed: int):
+def shard_counts(begin: int, end: int, shards: int, totals: np.ndarray, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots of each source in the shards before, slots of each source in it) of the shards begin to end - 1."""
+    every = int(totals.sum())
+    stack = [(0, shards, np.zeros_like(totals), totals)]
+    while stack:
+        lo, hi, before, counts = stack.pop()
+        if hi <= begin or lo >= end:
+            continue
+        if hi - lo == 1:
+            yield lo, before, counts
+            continue
+        mid = (lo + hi) // 2
+        rng = np.random.Generator(np.random.Philox(key=[seed, lo * (shards + 1) + hi]))
+        part = split(counts, mid * every // shards - lo * every // shards, rng)
+        stack += [(mid, hi, before + part, counts - part), (lo, mid, before, part)]
+
+
+def _slots(shards: int, totals: np.ndarray, blocks: list[int], seed: int):
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, sidx, first, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "sidx", "first", "n"))):
-                total = blocks[sidx]
-                slot = np.arange(first, min(first + n, MAX_EPOCHS * total), dtype=np.int64)
-                index = np.empty(len(slot), np.int64)
-                for epoch in np.unique(slot // total).tolist():
-                    at = slot // total == epoch
-                    index[at] = permute(slot[at] % total, total, (seed << 80) | (sidx << 16) | epoch)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), shard)), pa.array(np.full(len(slot), sidx)), pa.array(slot), pa.array(index)], names=["shard", "sidx", "slot", "block"])
+            ids = batch.column(0).to_numpy()
+            if not len(ids):
+                continue
+            for shard, before, counts in shard_counts(int(ids[0]), int(ids[-1]) + 1, shards, totals, seed):
+                sidx = np.flatnonzero(counts)
+                slots, index = [], []
+                for s in sidx.tolist():
+                    slot, n = np.arange(before[s], before[s] + counts[s], dtype=np.int64), blocks[s]
+                    at = np.empty(len(slot), np.int64)
+                    for epoch in range(int(slot[0]) // n, int(slot[-1]) // n + 1):
+                        of = slot // n == epoch
+                        at[of] = permute(slot[of] % n, n, (seed << 80) | (s << 16) | epoch)
+                    slots.append(slot)
+                    index.append(at)
+                if slots:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(counts.sum()), shard)), pa.array(np.repeat(sidx, counts[sidx])), pa.array(np.concatenate(slots)), pa.array(np.concatenate(index))], names=["shard", "sidx", "slot", "block"])
 
     return expand
 
@@ -154,7 +174,7 @@ def _slots(blocks: list[int], seed: int):
 class Mix:
     """A mix of ``docs`` (doc_id, source, text).
 
-    ``rows`` has doc_id, source, size, sidx and the document's first word in its source's stream;
+    ``rows`` has doc_id, size, sidx and the document's first word in its source's stream;
     ``sources`` the totals and targets; ``slots`` one row (shard, sidx, slot, block) per block taken.
     """
 
@@ -164,30 +184,36 @@ class Mix:
         sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(_sizes, "doc_id long, source string, size long")
         sized = ws.save(sized, "sizes")
         found = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()  # one row per source
-        if len(found) > MAX_SOURCES:
-            raise ValueError(f"{len(found)} sources; their totals and shares are planned on the driver for up to {MAX_SOURCES}")
         found.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
         sizes = [r.n for r in found]
         want = targets(sizes, [weights[i % len(weights)] for i in range(len(found))])
         self.sources = spark.createDataFrame([(r.source, i, r.n, t) for i, (r, t) in enumerate(zip(found, want))], "source string, sidx long, source_size long, target double")
+        self.few = len(found) <= BROADCAST_SOURCES
         chunks = max(1, math.isqrt(sum(r.docs for r in found)))
-        at = sized.join(F.broadcast(self.sources.select(F.col("source").alias("s"), "sidx")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        at = at.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(chunks)))
-        sums = at.groupBy("sidx", "chunk").agg(F.sum("size").alias("n"))
+        at = sized.join(self._of_sources(F.col("source").alias("s"), "sidx"), F.col("source").eqNullSafe(F.col("s")))
+        at = at.groupBy("sidx", "doc_id", "size").agg(F.count("*").alias("copies")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(chunks)))
+        at = ws.save(at.withColumn("words", F.col("size") * F.col("copies")), "distinct")
         before = Window.partitionBy("sidx").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        sums = at.groupBy("sidx", "chunk").agg(F.sum("words").alias("n"))
         sums = ws.save(sums.select("sidx", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "chunks")
         inside = Window.partitionBy("sidx", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-        local = at.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        self.rows = ws.save(local.join(sums, ["sidx", "chunk"]).select("doc_id", "source", "size", "sidx", (F.col("base") + F.col("within")).alias("first")), "rows")
+        local = at.withColumn("within", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(sums, ["sidx", "chunk"])
+        local = ws.save(local.select("doc_id", "size", "sidx", "copies", (F.col("base") + F.col("within")).alias("first")), "placed")
+        many = local.where(F.col("copies") > COPIES).select("*", F.explode(F.expr(f"sequence(0, copies - 1, {COPIES})")).alias("from")).repartition("sidx", "doc_id", "size", "from")
+        few = local.where(F.col("copies") <= COPIES).withColumn("from", F.lit(0).cast("long"))
+        self.rows = few.unionByName(many).select("doc_id", "size", "sidx", "first", F.explode(F.expr(f"sequence(from, least(from + {COPIES}, copies) - 1)")).alias("copy"))
+        self.rows = ws.save(self.rows.select("doc_id", "size", "sidx", (F.col("first") + F.col("copy") * F.col("size")).alias("first")), "rows")
 
         blocks = [-(-n // block) for n in sizes]
-        slots = slots_wanted(sizes, want, block)
-        total = math.ceil(sum(slots))
-        shards = -(-total // max(SHARD_SLOTS, -(-total // MAX_SHARDS)))
-        drawn = spark.range(shards).mapInArrow(_shards(shards, slots, seed), "shard long, sidx long, n long")
-        before = Window.partitionBy("sidx").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        drawn = ws.save(drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))), "shards")
-        self.slots = drawn.repartition("shard", "sidx").mapInArrow(_slots(blocks, seed), "shard long, sidx long, slot long, block long")
+        totals = whole_slots(slots_wanted(sizes, want, block), seed)
+        total = int(totals.sum())
+        shards = -(-total // SHARD_SLOTS)
+        tasks = max(1, min(shards, max(4 * spark.sparkContext.defaultParallelism, -(-total // TASK_SLOTS))))
+        self.slots = spark.range(0, shards, 1, tasks).mapInArrow(_slots(shards, totals, blocks, seed), "shard long, sidx long, slot long, block long")
+
+    def _of_sources(self, *columns) -> DataFrame:
+        out = self.sources.select(*columns)
+        return F.broadcast(out) if self.few else out
 
     def pieces(self) -> DataFrame:
         """(sidx, block, first, words): how many words of the document at ``first`` lie in each block."""
@@ -200,7 +226,7 @@ class Mix:
         times = self.ws.save(self.slots.groupBy("sidx", "block").agg(F.count("*").alias("times")), "times")  # written, so that the planner knows its size
         taken = self.pieces().hint("merge").join(times, ["sidx", "block"]).groupBy("sidx", "first").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
         rows = self.rows.withColumn("at", F.when(F.col("size") > 0, F.col("first")))
-        rows = rows.join(taken.withColumnRenamed("first", "at"), ["sidx", "at"], "left").join(F.broadcast(self.sources.drop("source")), "sidx")
+        rows = rows.join(taken.withColumnRenamed("first", "at"), ["sidx", "at"], "left").join(self._of_sources("*"), "sidx")
         return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 

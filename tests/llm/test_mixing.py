@@ -19,11 +19,31 @@ def test_permutation_is_one():
 
 
 def test_shard_counts():
-    share = np.array([0.5, 0.3, 0.2])
-    for shard in range(5):
-        c = mixing.shard_counts(shard, 101, share)
-        assert c.sum() == 101 and (abs(c - 101 * share) < 3).all()
-        assert (c == mixing.shard_counts(shard, 101, share)).all()
+    totals = np.array([5050, 3030, 2020, 0, 1])
+    for shards in (1, 2, 7, 100):
+        every = list(mixing.shard_counts(0, shards, shards, totals))
+        assert [k for k, _, _ in every] == list(range(shards)) and (sum(c for _, _, c in every) == totals).all()
+        before = np.zeros_like(totals)
+        for k, first, counts in every:
+            assert (first == before).all() and (counts >= 0).all() and counts.sum() == (k + 1) * 10101 // shards - k * 10101 // shards
+            before = before + counts
+            ((_, again, same),) = mixing.shard_counts(k, k + 1, shards, totals)  # any task draws the same
+            assert (again == first).all() and (same == counts).all()
+
+
+def test_shard_counts_vary_like_a_multinomial():
+    totals = np.array([30_000, 20_000, 10_000])
+    counts = np.array([c for _, _, c in mixing.shard_counts(0, 600, 600, totals)])
+    assert np.allclose(counts.mean(axis=0), [50, 100 / 3, 100 / 6])
+    spread = counts.var(axis=0) / (100 * (totals / 60_000) * (1 - totals / 60_000))
+    assert (abs(spread - 1) < 0.25).all()
+
+
+def test_counts_beyond_the_generator():
+    counts = np.array([3 * 10**9, 10**9, 7, 0])
+    for left in (0, 1, 10**9 + 1, int(counts.sum()) - 1, int(counts.sum())):
+        part = mixing.split(counts, left, np.random.default_rng(0))
+        assert part.sum() == left and (part >= 0).all() and (part <= counts).all()
 
 
 def test_mix_meets_its_targets(spark, small):
@@ -66,3 +86,21 @@ def test_odd_rows(spark, odd, none):
     assert len(rows) == 11 and all(0 <= r.taken <= 3 * r["size"] for r in rows)
     assert {r.taken for r in rows if r.doc_id in (0, 1, 2)} == {0} and sum(r.doc_id == 3 for r in rows) == 2
     assert mixing.Mix(spark, none).taken().count() == 0
+
+
+def test_repeated_rows_have_places_of_their_own(spark):
+    rows = [(7, "a", "x y z")] * 3000 + [(None, "a", "x y")] * 1500 + [(i, "b", "w " * 50) for i in range(40)] + [(7, "b", "x y z"), (7, "a", "x")]
+    mix = mixing.Mix(spark, spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    got = mix.taken().collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r["size"] for r in got)
+    for source, size in (("a", 9000 + 3000 + 1), ("b", 2003)):
+        own = [r for r in got if r.source == source]
+        assert sum(r["size"] for r in own) == size and abs(sum(r.taken for r in own) - own[0].target) <= 64
+    places = sorted((r.sidx, r.first, r["size"]) for r in mix.rows.collect())
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(places, places[1:]))
+
+
+def test_slots_are_dealt_over_tasks(spark):
+    rows = [(i, f"s{i % 3}", "w " * 2000) for i in range(400)]
+    mix = mixing.Mix(spark, spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    assert mix.slots.rdd.getNumPartitions() == 4 and mix.slots.count() == sum(r.n for r in mix.slots.groupBy("shard").count().selectExpr("count AS n").collect())

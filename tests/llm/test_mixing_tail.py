@@ -16,7 +16,7 @@ def test_remainders_are_kept_on_average():
     blocks = [-(-n // mixing.BLOCK) for n in sizes]
     slots = np.array(mixing.slots_wanted(sizes, want))
     for shards in (1, 7):
-        total = sum(mixing.even_counts(k, shards, slots) for k in range(shards))
+        total = sum(counts for _, _, counts in mixing.shard_counts(0, shards, shards, mixing.whole_slots(slots)))
         words = total * np.array(sizes) / blocks
         assert abs(words[:3000].mean() - 25) < 0.5 and abs(words[3000:].mean() - 234) < 2
         assert (abs(total - slots) < 1).all() and (total <= 3 * np.array(blocks)).all()
