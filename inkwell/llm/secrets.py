@@ -8,6 +8,11 @@ Parquet table of (blob, the rule versions it was scanned with, findings).  A run
 3. scans only the remaining blobs, each with the rules it still lacks, and appends the result,
 4. joins the findings back to every path that holds the blob.
 
+Of the ledger only the entries of the run's own blobs are aggregated.  Its folder is a parameter; the query
+and the pipeline take it from the session setting ``spark.inkwell.ledger``.  There it is kept, so that a
+later run scans only what is new.  Without the setting a run has a ledger of its own, which goes with the
+process.
+
 A hot blob is one row up to the last join, which is on a written table so that adaptive execution
 can split it.  A run that dies before its append is repeated whole; an entry appended twice reads
 as one, because findings are a set.
@@ -38,6 +43,7 @@ _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
 _GAP = r"(?:[\s\"'+,>#*|]|\\[nrt])*+"  # between the lines of a key, also as a literal or a quotation
 _PEM_BODY = re.compile(rf"(?:{_GAP}(?:Proc-Type|DEK-Info|Version|Comment): [^\r\n\\]*)*+(?:{_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}})*+(?:{_GAP}(?:[A-Za-z0-9+/]{{1,15}}={{1,2}}|(?<=[\r\n])[A-Za-z0-9+/]{{1,15}}(?=[\r\n]|\Z)))?")
+SETTING = "spark.inkwell.ledger"
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
@@ -107,6 +113,11 @@ def _scanner(rules: tuple[Rule, ...]):
     return scan
 
 
+def ledger_folder(spark: SparkSession) -> str:
+    """The folder that the session names, or a new one."""
+    return spark.conf.get(SETTING, None) or Workspace(spark, "ledger").path("ledger")
+
+
 def _read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -120,16 +131,20 @@ def scan_versions(spark: SparkSession, versions: DataFrame, ledger_path: str, ru
     keys = [r.key for r in rules]
     blobs = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
     places = ws.save(blobs.select("path", "blob"), "places")
-    todo = places.groupBy("blob").agg(F.min("path").alias("path")).withColumn("rules", F.lit(keys))
+    own = todo = ws.save(places.groupBy("blob").agg(F.min("path").alias("path")).withColumn("rules", F.lit(keys)), "blobs")
     ledger = _read_ledger(spark, ledger_path)
     if ledger is not None:
-        seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+        seen = ledger.join(todo.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))
         todo = todo.join(seen, "blob", "left").select("blob", "path", F.array_except("rules", F.coalesce("seen", F.array().cast("array<string>"))).alias("rules")).where("size(rules) > 0")
-    todo = ws.save(todo, "todo").withColumnsRenamed({"blob": "todo_blob", "path": "todo_path"})
+        todo = ws.save(todo, "todo")
+    todo = todo.withColumnsRenamed({"blob": "todo_blob", "path": "todo_path"})
     located = blobs.join(todo, (F.col("blob") == F.col("todo_blob")) & F.col("path").eqNullSafe(F.col("todo_path")))
     located.select("blob", "rules", "text").mapInArrow(_scanner(rules), LEDGER).write.mode("append").parquet(ledger_path)
 
-    entries = spark.read.schema(LEDGER).parquet(ledger_path).groupBy("blob").agg(F.flatten(F.collect_set("findings")).alias("findings"))
+    entries = spark.read.schema(LEDGER).parquet(ledger_path)
+    if ledger is not None:  # else all of it is this run's
+        entries = entries.join(own.select("blob"), "blob", "left_semi")
+    entries = entries.groupBy("blob").agg(F.flatten(F.collect_set("findings")).alias("findings"))
     active = F.sort_array(F.array_distinct(F.filter("findings", lambda x: x["rule"].isin(keys))))
     entries = ws.save(entries.select("blob", active.alias("findings")), "entries")
     return places.join(entries, "blob", "left").select("path", "blob", "findings")
@@ -177,5 +192,4 @@ def redacted(spark: SparkSession, docs: DataFrame, ledger_path: str, key: str =
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
-    ledger = Workspace(spark, "ledger").path("ledger")
-    return digest(scan_versions(spark, docs.select(F.col("doc_id").alias("path"), "text"), ledger))
+    return digest(scan_versions(spark, docs.select(F.col("doc_id").alias("path"), "text"), ledger_folder(spark)))

@@ -56,3 +56,17 @@ def test_odd_rows_and_redaction(spark, odd, none):
     texts = sorted(str(r.text) for r in secrets.redacted(spark, docs, Workspace(spark, "l").path("l")).collect())
     assert texts == ["None", "[SECRET]", "clean", "x [SECRET] y"]
     assert secrets.redact("abcdefgh", [(1, 4), (3, 6)], "*") == "a*gh"
+
+
+def test_a_second_run_of_the_query_scans_nothing(spark, tiny):
+    plain = sorted(map(str, secrets.query(spark, tiny).collect()))
+    path = Workspace(spark, "kept").path("ledger")
+    spark.conf.set(secrets.SETTING, path)
+    try:
+        first = sorted(map(str, secrets.query(spark, tiny).collect()))
+        entries = spark.read.parquet(path).count()
+        blobs = spark.read.parquet(f"{tiny}/documents.parquet").selectExpr("coalesce(text, '') AS text").distinct().count()
+        second = sorted(map(str, secrets.query(spark, tiny).collect()))
+        assert spark.read.parquet(path).count() == entries == blobs and first == second == plain
+    finally:
+        spark.conf.unset(secrets.SETTING)
