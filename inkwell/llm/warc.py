@@ -12,10 +12,12 @@ both with ``WARC-Refers-To`` naming the response, ``WARC-Refers-To-Target-URI``
 id, so a repeated task writes the same bytes.  Digests are base-32 SHA-1, as is customary in WARC.
 Everything is one narrow pass; no row meets another.
 
-``read_warc`` and ``write_warc`` move records between files and tables.
+``read_warc`` and ``write_warc`` move records between files and tables.  Files are read as a stream of
+records, so that a file may be larger than a task's memory.
 
-Edge cases: null payloads are empty; a null url gives records without target URI; bodies that
-are not UTF-8 are decoded with replacement; a line break inside a header value becomes a space;
+Edge cases: null payloads are empty; a null url gives records without target URI; a response without
+an id gives records that refer to none, with ids of their own from its URI, date and payload digest; bodies
+that are not UTF-8 are decoded with replacement; a line break inside a header value becomes a space;
 repeated rows give repeated records; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -24,9 +26,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,7 +75,7 @@ def language(source: str) -> str | None:
     return None
 
 
-def derive(record_id: str, target_uri: str | None, date: str | None, http_headers: str, payload: bytes) -> list[tuple]:
+def derive(record_id: str | None, target_uri: str | None, date: str | None, http_headers: str, payload: bytes) -> list[tuple]:
     """The conversion and the metadata record of one response, as tuples in the order of RECORD."""
     source = payload.decode("utf-8", "replace")
     text = plain_text(source).encode()
@@ -82,7 +84,7 @@ def derive(record_id: str, target_uri: str | None, date: str | None, http_header
     fields += [("source-header", line) for line in http_headers.split("\r\n") if line]
     out = []
     for kind, content_type, block in (("conversion", "text/plain;charset=utf-8", text), ("metadata", "application/warc-fields", header_block(fields).encode())):
-        own, block_digest = named_id(f"{record_id}/{kind}"), digest(block)
+        own, block_digest = named_id(f"{record_id if record_id is not None else f'{target_uri} {date} {payload_digest}'}/{kind}"), digest(block)
         headers = header_block(
             [
                 ("WARC-Type", kind),
@@ -123,7 +125,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
     """Two records (RECORD) for each row of ``responses`` (record_id, target_uri, date, http_headers, payload binary)."""
     small_batches(responses.sparkSession)
     columns = ["record_id", "target_uri", "date", "http_headers", "payload"]
-    return responses.where("record_id is not null").select(columns).mapInArrow(_derive, RECORD)
+    return responses.select(columns).mapInArrow(_derive, RECORD)
 
 
 def responses_of_pages(pages: DataFrame) -> DataFrame:
@@ -136,46 +138,97 @@ def responses_of_pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *hexes), F.lit(">")).alias("record_id"), F.col("url").alias("target_uri"), F.lit(DATE).alias("date"), http.alias("http_headers"), payload.alias("payload"))
 
 
-def records(data: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], str, bytes]]:
-    """(headers, header text, block) of each record of an uncompressed WARC stream."""
-    while line := data.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record: {line[:40]!r}")
-        lines = []
-        while (line := data.readline()).strip():
-            lines.append(line.decode("utf-8", "replace").rstrip("\r\n"))
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        block = data.read(int(headers.get("content-length", 0)))
-        yield headers, "".join(x + "\r\n" for x in lines), block
+def _parsed(raw: bytes) -> tuple[dict[str, str], str, bytes]:
+    """(headers, header text, the rest) of a record's bytes after its version line's ``WARC/``."""
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    return headers, "".join(x + "\r\n" for x in lines), rest
 
 
-def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of pieces between ``SEPARATOR``s; a block that holds one is put together again by its length."""
+    rows, waiting = [], None
     for batch in batches:
-        for content in batch.column("content"):
-            raw = io.BytesIO(content.as_py())
-            stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if raw.getvalue()[:2] == b"\x1f\x8b" else raw
-            rows = []
-            for h, text, block in records(stream):
-                rows.append((h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-date"), h.get("warc-payload-digest") or h.get("warc-source-payload-digest"), h.get("warc-block-digest"), text, block))
-                if len(rows) >= 256:
-                    yield _to_batch(rows)
-                    rows = []
-            yield _to_batch(rows)
+        for piece, path in zip(batch.column("piece"), batch.column("path")):
+            raw, path = piece.as_py(), path.as_py()
+            if waiting is not None:
+                if waiting[1] != path:
+                    raise ValueError(f"a record of {waiting[1]} ends before its length; if a block with WARC records in it lies on a split, read the file gzipped")
+                raw = waiting[0] + SEPARATOR + raw
+            elif raw.startswith(b"WARC/"):
+                raw = raw[5:]  # the first record of a file
+            if not raw.strip():
+                continue
+            h, text, block = _parsed(raw)
+            if not re.match(rb"[0-9]", raw) or "content-length" not in h:
+                raise ValueError(f"no WARC record in {path}: {raw[:40]!r}")
+            size = int(h["content-length"])
+            if len(block) < size:
+                waiting = raw, path
+                continue
+            waiting = None
+            rows.append((h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-date"), h.get("warc-payload-digest") or h.get("warc-source-payload-digest"), h.get("warc-block-digest"), text, block[:size]))
+            if len(rows) >= 64:
+                yield _to_batch(rows)
+                rows = []
+    if waiting is not None:
+        raise ValueError(f"a record of {waiting[1]} ends before its length")
+    yield _to_batch(rows)
+
+
+SEPARATOR = b"\r\n\r\nWARC/"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records (RECORD) of WARC files, plain or gzipped; a file is one task, as its records are a stream."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read_files, RECORD)
+    """Records (RECORD) of WARC files, plain (which Spark may split) or gzipped (one task each).
+
+    A record's length tells where its block ends, whatever the block holds; a file cut short is an error.
+    """
+    small_batches(spark)
+    pieces = spark.read.option("lineSep", SEPARATOR.decode()).text(path)
+    return pieces.select(F.col("value").cast("binary").alias("piece"), F.input_file_name().alias("path")).mapInArrow(_read_records, RECORD)
+
+
+def decoded(http_headers: str | None, body: bytes) -> bytes:
+    """The payload of an HTTP body: chunks joined, gzip and deflate undone; what cannot be undone stays as it is."""
+    said = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(":") for x in (http_headers or "").split("\r\n"))}
+    if "chunked" in said.get("transfer-encoding", ""):
+        out, at = [], 0
+        while m := _CHUNK.match(body, at):
+            n = int(m[1], 16)
+            out.append(body[m.end() : m.end() + n])
+            at = m.end() + n + 2
+            if n == 0:
+                break
+        body = b"".join(out) if out else body
+    for coding in reversed(said.get("content-encoding", "").replace(" ", "").split(",")):
+        try:
+            if coding in ("gzip", "x-gzip"):
+                body = gzip.decompress(body)
+            elif coding == "deflate":
+                body = zlib.decompress(body, -15 if body[:1] != b"\x78" else 15)
+        except (OSError, EOFError, zlib.error):
+            break
+    return body
+
+
+_CHUNK = re.compile(rb"([0-9A-Fa-f]{1,15})[^\r\n]*\r\n")
+
+
+def _decode_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bodies = [b if b is None else decoded(h, b) for h, b in zip(batch.column("http_headers").to_pylist(), batch.column("payload").to_pylist())]
+        yield batch.set_column(batch.schema.get_field_index("payload"), "payload", pa.array(bodies, pa.binary()))
 
 
 def responses_of_records(found: DataFrame) -> DataFrame:
-    """The response records of ``read_warc`` split into HTTP headers and payload."""
+    """The response records of ``read_warc`` split into HTTP headers and payload, transfer and content encodings undone."""
     at = F.expr("instr(decode(block, 'ISO-8859-1'), '\r\n\r\n')")
     rows = found.where("type = 'response'").withColumn("at", at)
     http = F.when(F.col("at") > 0, F.expr("decode(substring(block, 1, at + 1), 'ISO-8859-1')"))
-    return rows.select("record_id", "target_uri", "date", http.alias("http_headers"), F.when(F.col("at") > 0, F.expr("substring(block, at + 4, length(block))")).otherwise(F.col("block")).alias("payload"))
+    rows = rows.select("record_id", "target_uri", "date", http.alias("http_headers"), F.when(F.col("at") > 0, F.expr("substring(block, at + 4, length(block))")).otherwise(F.col("block")).alias("payload"))
+    return rows.mapInArrow(_decode_bodies, rows.schema)
 
 
 def write_warc(found: DataFrame, path: str, compression: str = "none") -> None:
