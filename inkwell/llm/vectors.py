@@ -1,19 +1,21 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison.
 
-Vectors are scaled to length one in double precision; equal vectors collapse to the smallest id
-with a weight.  A rotation onto principal axes, fitted on a bounded sample (any rotation keeps
+Vectors are scaled to length one in double precision; vectors that are equal then collapse to the
+smallest id with a weight.  A rotation onto principal axes, fitted on a bounded sample (any rotation keeps
 cosines, so the sample affects speed only), puts most of the norm into the leading dimensions.
-Rotated vectors, ordered by the first axis, form tiles of ``TILE`` rows.  A task compares two
-tiles.  For blocks of rows it accumulates the products of the leading dimensions and bounds the
+Vectors, ordered by the first axis, form tiles of ``TILE`` rows, and consecutive tiles square cells of
+a bounded number of bytes a side; a task compares the tiles of a cell.  For blocks of rows it
+accumulates the products of the leading dimensions and bounds the
 rest by the product of the suffix norms (one matrix product, the suffix norm being one more
 column); pairs whose bound stays below the threshold stop there.  Survivors go on to more
-dimensions, then to the whole product in double precision.  Tiles whose ranges on the first axis
-lie too far apart are never paired.
+dimensions, then to the cosine in double precision, taken of the vectors before rotation; cosines
+within ``NEAR`` of the threshold are summed without intermediate rounding.  Cells whose ranges on
+the first axis lie too far apart are never formed, tiles whose boxes on the first ``BOX`` axes do are skipped.
 
 A task returns link counts per vector and a spanning forest of its links, never the pairs, so a
 group of n copies costs O(n) rows per tile pair.  Every vector meets every other: the arithmetic
 grows with the square of the rows unless the first axis separates them, as with any exact method
-whose bound is the suffix norm; the rows moved grow as rows times tiles.
+whose bound is the suffix norm; the rows moved grow as rows times cells on a side.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing; vectors of different lengths link with nothing of another length; a null id links with
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +42,10 @@ from .workspace import Workspace
 THRESHOLD = 0.9
 TILE, BLOCK = 8192, 1024
 LEADING = (0.25, 0.5)  # shares of the dimensions after which the bound is taken
-SAMPLE = 20_000
+SAMPLE, SAMPLE_BYTES = 20_000, 1 << 26
+CELL_BYTES = 1 << 25  # of vectors on a side of a cell
+BOX = 16
+NEAR = 1e-9
 _EPS = 1e-4  # above the rounding of single-precision products of unit vectors
 
 
@@ -54,16 +60,21 @@ def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = values[a:b]
             top = np.abs(x).max() if ok and b > a else 0.0
             if np.isfinite(top) and top > 0:
-                x = x / top
-                u = (x / np.sqrt(x @ x) + 0.0).tobytes()
-                units.append(u)
-                keys.append(hashlib.blake2b(u, digest_size=16).digest())
+                x = np.ldexp(x, -int(np.frexp(top)[1])) + 0.0  # a power of two, which rounds nothing
+                units.append(x.tobytes())
+                keys.append(hashlib.blake2b((x / np.sqrt(x @ x)).tobytes(), digest_size=16).digest())
                 dims.append(b - a)
             else:
                 units.append(None)
                 keys.append(None)
                 dims.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(units, pa.binary()), pa.array(keys, pa.binary()), pa.array(dims, pa.int32())], names=["vec_id", "unit", "digest", "dim"])
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(units, pa.binary()), pa.array(keys, pa.binary()), pa.array(dims, pa.int32())], names=["vec_id", "vector", "digest", "dim"])
+
+
+def _rows(vectors: list[bytes], dim: int) -> np.ndarray:
+    """Unit rows."""
+    m = np.frombuffer(b"".join(vectors)).reshape(-1, dim)
+    return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
 
 
 def principal_axes(sample: np.ndarray) -> np.ndarray:
@@ -72,34 +83,34 @@ def principal_axes(sample: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(axes[:, ::-1])
 
 
-def _rotate(axes: np.ndarray):
+def _lead(axis: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                y = np.frombuffer(b"".join(batch.column("unit").to_pylist())).reshape(batch.num_rows, -1) @ axes
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("weight"), pa.array(y[:, 0]), pa.array([r.tobytes() for r in y], pa.binary())], names=["rep", "weight", "lead", "y"])
+                lead = _rows(batch.column("vector").to_pylist(), len(axis)) @ axis
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "weight", "vector")), pa.array(lead)], names=["rep", "weight", "vector", "lead"])
 
     return run
 
 
 def _tiles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, weights, rows = [], [], []
+        ids, weights, leads, rows = [], [], [], []
 
         def tile() -> pa.RecordBatch:
-            y = b"".join(rows)
-            lead = np.frombuffer(y).reshape(len(ids), -1)[:, 0]
-            name = hashlib.blake2b(np.array(ids).tobytes() + y, digest_size=8).digest()
-            return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(name, "little", signed=True)]), pa.array([float(lead.min())]), pa.array([float(lead.max())]), pa.array([np.array(ids).tobytes()], pa.binary()), pa.array([np.array(weights).tobytes()], pa.binary()), pa.array([y], pa.binary())], names=["tile", "lo", "hi", "ids", "weights", "y"])
+            u = b"".join(rows)
+            name = hashlib.blake2b(np.array(ids).tobytes() + u, digest_size=8).digest()
+            return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(name, "little", signed=True)]), pa.array([min(leads)]), pa.array([max(leads)]), pa.array([np.array(ids).tobytes()], pa.binary()), pa.array([np.array(weights).tobytes()], pa.binary()), pa.array([u], pa.binary())], names=["tile", "lo", "hi", "ids", "weights", "u"])
 
         for batch in batches:
-            for a, b, c in zip(*(batch.column(k).to_pylist() for k in ("rep", "weight", "y"))):
+            for a, b, c, d in zip(*(batch.column(k).to_pylist() for k in ("rep", "weight", "lead", "vector"))):
                 ids.append(a)
                 weights.append(b)
-                rows.append(c)
+                leads.append(c)
+                rows.append(d)
                 if len(ids) == size:
                     yield tile()
-                    ids, weights, rows = [], [], []
+                    ids, weights, leads, rows = [], [], [], []
         if ids:
             yield tile()
 
@@ -113,13 +124,34 @@ class _Forest:
         self.label = np.arange(n)
 
     def union(self, nodes: np.ndarray) -> None:
+        if (self.label[nodes] == self.label[nodes[0]]).all():
+            return
         have = np.unique(self.label[nodes])
         if len(have) > 1:
             self.label[np.isin(self.label, have)] = have[0]
 
 
-def compare(x: np.ndarray, y: np.ndarray, same: bool, threshold: float = THRESHOLD) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, links) for blocks of rows of x against all rows of y; links is a boolean matrix."""
+def _cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """With sums that round once, so that a cosine of exactly the threshold is not missed."""
+    return math.fsum(a * b) / (math.sqrt(math.fsum(a * a)) * math.sqrt(math.fsum(b * b)))
+
+
+def _reaches(u: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the cosine of u[i] and v[j] is at least the threshold."""
+    a, b = u[i], v[j]
+    value = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+    hit = value >= threshold
+    for k in np.flatnonzero(np.abs(value - threshold) < NEAR).tolist():
+        hit[k] = _cosine(a[k], b[k]) >= threshold
+    return hit
+
+
+def compare(x: np.ndarray, y: np.ndarray, same: bool, threshold: float = THRESHOLD, plain: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, links) for blocks of rows of x against all rows of y; links is a boolean matrix.
+
+    ``plain`` holds the rows before rotation and scaling, on which links are decided.
+    """
+    u, v = plain or (x, y)
     dim = x.shape[1]
     cuts = sorted({max(1, int(dim * s)) for s in LEADING} - {dim})
 
@@ -138,7 +170,10 @@ def compare(x: np.ndarray, y: np.ndarray, same: bool, threshold: float = THRESHO
             off = j != i + r
             i, j = i[off], j[off]
         if len(i) > open_.size // 16:
-            links = (block @ y.T >= threshold) & open_
+            value = block @ y.T
+            links = (value >= threshold) & open_
+            i, j = np.nonzero((np.abs(value - threshold) < NEAR) & open_)
+            links[i, j] = _reaches(u, v, i + r, j, threshold)
             if same:
                 links[np.arange(len(block)), np.arange(r, r + len(block))] = False
             yield r, links
@@ -149,62 +184,84 @@ def compare(x: np.ndarray, y: np.ndarray, same: bool, threshold: float = THRESHO
                 xs, ys = bounded(block, 0, cut), bounded(y, 0, cut)
                 live = np.einsum("ij,ij->i", xs[a], ys[b]) >= threshold - _EPS
                 a, b = a[live], b[live]
-            hit = np.einsum("ij,ij->i", block[a], y[b]) >= threshold
+            hit = _reaches(u, v, a + r, b, threshold)
             links[a[hit], b[hit]] = True
         yield r, links
 
 
-def _pairs(threshold: float):
+def _cell(threshold: float, axes: np.ndarray):
+    reach = 2 - 2 * threshold + 1e-9  # unit vectors with cosine t are no further apart, squared
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """Compares the tiles of a cell: one tile with itself, or two."""
-        parts = sorted(zip(*(table.column(c).to_pylist() for c in ("tile", "ids", "weights", "y"))))
-        ids = [np.frombuffer(p[1], np.int64) for p in parts]
-        w = [np.frombuffer(p[2], np.int64) for p in parts]
-        m = [np.frombuffer(p[3]).reshape(len(i), -1) for p, i in zip(parts, ids)]
-        same = len(parts) == 1
-        all_ids = np.concatenate(ids)
-        counts, forest, shift = np.zeros(len(all_ids), np.int64), _Forest(len(all_ids)), 0 if same else len(ids[0])
-        for r, links in compare(m[0], m[-1], same, threshold):
-            rows = np.flatnonzero(links.any(axis=1))
-            if len(rows):
-                counts[r + rows] += links[rows] @ w[-1]
-                if not same:
-                    counts[shift:] += w[0][r + rows] @ links[rows]
-                for i in rows.tolist():
-                    forest.union(np.r_[r + i, shift + np.flatnonzero(links[i])])
-        at = np.flatnonzero(counts)
-        return pa.table({"rep": all_ids[at], "links": counts[at], "root": all_ids[forest.label[at]]})
+        """Compares the tiles of a cell: those of its rows with those of its columns, each pair once."""
+        parts = sorted(zip(*(table.column(c).to_pylist() for c in ("at", "ids", "weights", "u"))), key=lambda p: p[0])
+        row, column = (k.as_py() for k in key)
+        ids = {p[0]: np.frombuffer(p[1], np.int64) for p in parts}
+        w = {p[0]: np.frombuffer(p[2], np.int64) for p in parts}
+        u = {p[0]: np.frombuffer(p[3]).reshape(len(ids[p[0]]), -1) for p in parts}
+        y = {at: np.ascontiguousarray((m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]) @ axes) for at, m in u.items()}
+        box = {at: (m[:, :BOX].min(axis=0), m[:, :BOX].max(axis=0)) for at, m in y.items()}
+        side = dict(zip(table.column("at").to_pylist(), table.column("side").to_pylist()))
+        out = []
+        for a in (at for at in ids if side[at] == row):
+            for b in (at for at in ids if side[at] == column and at >= a):
+                gap = np.maximum(0.0, np.maximum(box[a][0] - box[b][1], box[b][0] - box[a][1]))
+                if gap @ gap <= reach:
+                    out.append(_tile_links(a == b, (ids[a], ids[b]), (w[a], w[b]), (y[a], y[b]), (u[a], u[b]), threshold))
+        return pa.table({c: np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i, c in enumerate(("rep", "links", "root"))})
 
     return run
 
 
+def _tile_links(same: bool, ids: tuple, w: tuple, y: tuple, u: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rep, links, root in a spanning forest) of the linked rows of two tiles, or of one."""
+    all_ids = ids[0] if same else np.concatenate(ids)
+    counts, forest, shift = np.zeros(len(all_ids), np.int64), _Forest(len(all_ids)), 0 if same else len(ids[0])
+    for r, links in compare(y[0], y[1], same, threshold, u):
+        rows = np.flatnonzero(links.any(axis=1))
+        if len(rows):
+            counts[r + rows] += links[rows] @ w[1]
+            if not same:
+                counts[shift:] += w[0][r + rows] @ links[rows]
+            for i in rows.tolist():
+                forest.union(np.r_[r + i, shift + np.flatnonzero(links[i])])
+    at = np.flatnonzero(counts)
+    return all_ids[at], counts[at], all_ids[forest.label[at]]
+
+
+def cells(spans: list[tuple[float, float]], side: int, reach: float) -> list[tuple[int, int]]:
+    """For each run of ``side`` tiles, sorted by their low ends, its number and that of the last run in reach."""
+    runs = [spans[i : i + side] for i in range(0, len(spans), side)]
+    lows = [r[0][0] for r in runs]
+    return [(i, bisect.bisect_right(lows, max(hi for _, hi in r) + reach) - 1) for i, r in enumerate(runs)]
+
+
 def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding)."""
     ws = Workspace(spark, "vectors")
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    unit = ws.save(source.mapInArrow(_normalised, "vec_id long, unit binary, digest binary, dim int"), "unit")
+    unit = ws.save(source.mapInArrow(_normalised, "vec_id long, vector binary, digest binary, dim int"), "vector")
     # the weight counts distinct ids, so that repeated rows of an id are one vector
-    once = unit.where("digest is not null").groupBy("digest", "vec_id").agg(F.any_value("unit").alias("unit"), F.any_value("dim").alias("dim"))
-    reps = ws.save(once.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.any_value("unit").alias("unit"), F.any_value("dim").alias("dim")), "reps")
+    once = unit.where("digest is not null").groupBy("digest", "vec_id").agg(F.min("vector").alias("vector"), F.any_value("dim").alias("dim"))
+    reps = ws.save(once.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("vector").alias("vector"), F.any_value("dim").alias("dim")), "reps")
     found = None
     for d, n in sorted((r.dim, r.n) for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()):  # one row per vector length
         rows = reps.where(F.col("dim") == d)
-        sample = rows.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < min(1.0, SAMPLE / n) * (1 << 30)).select("unit").collect()
-        axes = principal_axes(np.frombuffer(b"".join(r.unit for r in sample)).reshape(-1, d)) if len(sample) > 1 else np.eye(d)
-        y = rows.select("rep", "weight", "unit").mapInArrow(_rotate(axes), "rep long, weight long, lead double, y binary")
+        sample = rows.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < min(1.0, min(SAMPLE, SAMPLE_BYTES // (8 * d)) / n) * (1 << 30)).select("vector").collect()
+        axes = principal_axes(_rows([r.vector for r in sample], d)) if len(sample) > 1 else np.eye(d)
+        led = rows.select("rep", "weight", "vector").mapInArrow(_lead(np.ascontiguousarray(axes[:, 0])), "rep long, weight long, vector binary, lead double")
         groups = max(1, -(-n // tile))
-        tiles = y.repartitionByRange(groups, "lead", "rep").sortWithinPartitions("lead", "rep").mapInArrow(_tiles(tile), "tile long, lo double, hi double, ids binary, weights binary, y binary")
+        tiles = led.repartitionByRange(groups, "lead", "rep").sortWithinPartitions("lead", "rep").mapInArrow(_tiles(tile), "tile long, lo double, hi double, ids binary, weights binary, u binary")
         tiles = ws.save(tiles, "tiles")
         spans = sorted((r.lo, r.hi, r.tile) for r in tiles.select("tile", "lo", "hi").collect())  # one row per TILE vectors
         # unit vectors with cosine t lie within sqrt(2 - 2t) of each other on every axis
         reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-        lows = [lo for lo, _, _ in spans]
-        ranges = [(tile_id, i, bisect.bisect_right(lows, hi + reach) - 1) for i, (_, hi, tile_id) in enumerate(spans)]
-        order = spark.createDataFrame(ranges, "tile long, at int, last int")
-        cells = order.select(F.col("at").alias("a"), F.explode(F.sequence("at", "last")).alias("b"))
-        wanted = cells.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("at"))
-        plan = wanted.join(order.select("tile", "at"), "at")
-        part = plan.hint("merge").join(tiles, "tile").select("a", "b", "tile", "ids", "weights", "y").groupBy("a", "b").applyInArrow(_pairs(threshold), "rep long, links long, root long")
+        wide = math.isqrt(8 * spark.sparkContext.defaultParallelism) + 1  # cells enough for all cores
+        side = max(1, min(CELL_BYTES // (8 * d * tile), len(spans) // wide))
+        plan = spark.createDataFrame(cells([(lo, hi) for lo, hi, _ in spans], side, reach), "a int, last int").select("a", F.explode(F.sequence("a", "last")).alias("b"))
+        order = spark.createDataFrame([(t, i, i // side) for i, (_, _, t) in enumerate(spans)], "tile long, at int, side int")
+        plan = plan.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("side")).join(order, "side")
+        part = plan.hint("merge").join(tiles, "tile").select("a", "b", "side", "at", "ids", "weights", "u").groupBy("a", "b").applyInArrow(_cell(threshold, axes), "rep long, links long, root long")
         found = ws.save(part, "found") if found is None else found.unionAll(ws.save(part, "found"))
     if found is None:
         found = spark.createDataFrame([], "rep long, links long, root long")

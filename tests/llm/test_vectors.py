@@ -64,3 +64,24 @@ def test_compare_stops_only_what_cannot_link():
     want = x @ x.T >= 0.6
     np.fill_diagonal(want, False)
     assert (got == want).all() and want.any()
+
+
+def test_pairs_at_the_threshold_are_links(spark):
+    """Whole numbers whose cosine is exactly nine tenths, among many others that set the axes askew."""
+    rng = np.random.default_rng(4)
+    exact = [(0, [10.0, 0.0, 0.0, 0.0, 0.0]), (1, [9.0, 4.0, 1.0, 1.0, 1.0]), (2, [0.0, 10.0, 0.0, 0.0, 0.0]), (3, [4.0, 9.0, 1.0, 1.0, 1.0]), (4, [8.999999, 4.0, 1.0, 1.0, 1.0])]
+    rows = exact[:4] + [(9, [-x for x in exact[4][1]]), (8, [-10.0, 0.0, 0.0, 0.0, 0.0])] + [(100 + i, (rng.normal(size=5) * [1, 3, 2, 9, 5]).tolist()) for i in range(300)]
+    got = {r.vec_id: r for r in vectors.near_duplicate_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    m = np.array([x for _, x in rows])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    want = (m @ m.T >= 0.9 - 1e-13).sum(axis=1) - 1
+    assert [got[i].n_links for i, _ in rows] == want.tolist() and got[1].component_id == 0 and got[3].component_id <= 2
+
+
+def test_cells_of_several_tiles(spark, tiny):
+    df = spark.read.parquet(f"{tiny}/embeddings.parquet")
+    key = lambda r: r.vec_id
+    whole = sorted(vectors.near_duplicate_vectors(spark, df).collect(), key=key)
+    assert sorted(vectors.near_duplicate_vectors(spark, df, tile=4).collect(), key=key) == whole
+    assert vectors.cells([(0.0, 0.1), (0.1, 0.2), (0.2, 0.3), (0.9, 1.0)], 2, 0.05) == [(0, 1), (1, 1)]
+    assert vectors.cells([(0.0, 0.1), (0.1, 0.2), (0.2, 0.3), (0.9, 1.0)], 1, 0.05) == [(0, 1), (1, 2), (2, 2), (3, 3)]
