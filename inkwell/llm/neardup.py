@@ -22,7 +22,8 @@ At similarity 0.75 a link shares no band with probability below 3e-6 (128 regist
 
 Edge cases: null or word-less text has an empty set and links with nothing; fewer than five words
 form one shingle; a null doc_id is linked with nothing, has a null component_id and is kept;
-repeated rows are answered row by row; an empty table gives an empty result; only ``doc_id`` and
+repeated rows are answered row by row; rows of one id with different texts are versions of one document,
+which has the links of all of them, while n_shingles is of the row; an empty table gives an empty result; only ``doc_id`` and
 ``text`` are read, other columns are ignored.
 """
 
@@ -152,14 +153,19 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
 
-def _check(ws: Workspace, pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs that pass the estimate, links confirmed on full sets)."""
+def _texts(ws: Workspace, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ids ``wanted``, each different version once."""
+    return ws.save(docs.join(wanted, "doc_id", "left_semi").distinct(), "texts")
+
+
+def _check(ws: Workspace, pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links confirmed on full sets among the pairs that pass the estimate."""
     r = reps.select("rep", "n", "regs")
     joined = pairs.join(r.toDF("a", "na", "ra"), "a").join(r.toDF("b", "nb", "rb"), "b").where(f"least(na, nb) * {DEN} >= greatest(na, nb) * {NUM}")
-    likely = ws.save(joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a long, b long"), "likely")
-    left = likely.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    full = left.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return likely, ws.save(full.select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a long, b long").distinct(), "links")
+    likely = ws.save(joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a long, b long").distinct(), "likely")
+    texts = _texts(ws, docs, likely.select(F.col("a").alias("doc_id")).unionAll(likely.select("b")).distinct())
+    full = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    return ws.save(full.select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -174,7 +180,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     bands = reps.select("rep", "n", F.posexplode(keys).alias("band", "key"))
     buckets = ws.save(bands.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("k")).where("k > 1"), "buckets")
     first = ws.save(bands.join(buckets, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    _, links = _check(ws, first, reps, docs)
+    links = _check(ws, first, reps, docs)
+    # versions of one id are one document
+    known = ws.save(sig.select("doc_id", "n_shingles", "digest").join(reps.select("digest", "rep"), "digest", "left").select("doc_id", "n_shingles", "rep"), "known")
+    several = known.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
+    links = links.unionAll(known.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
     comp = ws.save(connected_components(ws, links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
     members = bands.join(buckets.where("k > 2").select("key"), "key").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
@@ -183,8 +193,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     mixed = ws.save(mixed.select("key", F.col("main.c").alias("main")), "mixed")
     rest = ws.save(members.join(mixed, "key"), "rest")
     wanted = ws.save(rest.select("rep").distinct(), "wanted")
-    fine = wanted.join(docs.withColumnRenamed("doc_id", "rep"), "rep").mapInArrow(_bits, "rep long, " + ", ".join(f"s{i} long" for i in range(WORDS)))
-    fine = ws.save(fine.dropDuplicates(["rep"]).join(reps.select("rep", keys.alias("keys")), "rep"), "fine")
+    texts = _texts(ws, docs, wanted.withColumnRenamed("rep", "doc_id")).withColumnRenamed("doc_id", "rep")
+    fine = texts.mapInArrow(_bits, "rep long, " + ", ".join(f"s{i} long" for i in range(WORDS)))
+    fine = ws.save(fine.join(reps.select("rep", keys.alias("keys")), "rep"), "fine")
     side = ws.save(rest.join(fine, "rep"), "sides")
     x = side.where("c <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in side.columns if c != "key"])
     y = side.select("key", *[F.col(c).alias(f"y_{c}") for c in side.columns if c != "key"])
@@ -195,14 +206,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
     cross = x.join(y, (x["key"] == y["key"]) & F.expr(near)).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
     cross = ws.save(cross.distinct().join(first, ["a", "b"], "left_anti"), "cross")
-    _, more = _check(ws, cross, reps, docs)
+    more = _check(ws, cross, reps, docs)
     edges = comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more.select("a", "b"))
     comp = ws.save(connected_components(ws, edges), "components")
 
     return (
-        sig.select("doc_id", "n_shingles", "digest")
-        .join(reps.select("digest", "rep"), "digest", "left")
-        .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+        known.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

@@ -79,3 +79,12 @@ def test_registers_do_not_depend_on_the_merge_size(monkeypatch):
     whole = neardup.registers(g, bounds)
     monkeypatch.setattr(neardup, "MERGE", 333)
     assert (neardup.registers(g, bounds) == whole).all()
+
+
+def test_repeated_rows_and_versions_of_an_id(spark):
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(5, words(0, 60))] * 400 + [(9, words(0, 61)), (3, words(200, 260)), (9, words(200, 261)), (1, words(500, 540)), (9, words(800, 830))] + [(11, words(0, 62))] * 30 + [(12, None), (12, words(500, 541))]
+    got = neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert len(got) == len(rows)
+    ids = {(r.doc_id, r.n_shingles): r.component_id for r in got}
+    assert {c for (i, _), c in ids.items() if i in (3, 5, 9, 11)} == {3} and ids[1, 36] == ids[12, 37] == 1 and ids[12, 0] == 12
