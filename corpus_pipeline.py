@@ -12,22 +12,24 @@ from inkwell.llm import decontam, langid, mixing, neardup, secrets
 from inkwell.llm.workspace import Workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-MIN_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognised language: no letters, or a calibrated score under MIN_SCORE."""
+    """Drops documents without a recognised language, that is without a letter."""
     docs = docs.select(COLUMNS)
-    labelled = langid.annotate(docs, langid.train(spark, docs))
-    return labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(COLUMNS)
+    return langid.annotate(docs, langid.train(spark, docs)).where("lang_pred <> 'und'").select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates, and one row of each id."""
+    """Keeps the smallest id of each group of near-duplicates, with every different text of it once.
+
+    Of rows with equal id and text the one with the smallest other columns stays; rows without an id all stay.
+    """
     docs = docs.select(COLUMNS)
-    kept = neardup.near_duplicates(spark, docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(COLUMNS)
+    found = neardup.near_duplicates(spark, docs).where("doc_id is not null")
+    kept = found.groupBy("doc_id").agg(F.min("kept").alias("kept")).where("kept").select("doc_id")
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    return one.select("doc_id", "text", "rest.*").unionByName(docs.where("doc_id is null")).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the text by a mark; ``n_chars`` follows."""
-    clean = secrets.redacted(spark, docs.select(COLUMNS), Workspace(spark, "ledger").path("ledger"))
+    clean = secrets.redacted(spark, docs.select(COLUMNS), secrets.ledger_folder(spark))
     return clean.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(COLUMNS)
 
 
