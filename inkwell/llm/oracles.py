@@ -15,13 +15,25 @@ r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT r.node,
 m AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.node = d.doc_id"""
 
+
+
+def _longer(doublings: int = 14) -> str:
+    """Windows of 50, 100, 200 ... words by the pairs of their halves, and the documents in which one is not the first."""
+    parts = ["l0 AS (SELECT doc_id, i, md5(s) AS h FROM s WHERE i + 49 <= n)"]
+    parts += [f"l{k} AS (SELECT doc_id, i, md5(h || z) AS h FROM (SELECT doc_id, i, h, lead(h, {50 << (k - 1)}) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM l{k - 1}) WHERE z IS NOT NULL)" for k in range(1, doublings)]
+    later = [f"SELECT DISTINCT doc_id, CAST({50 << k} AS BIGINT) AS level FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS d0 FROM l{k}) WHERE d0 < doc_id" for k in range(doublings)]
+    return ",\n".join([*parts, "later AS (" + " UNION ALL ".join(later) + ")"])
+
+
 REPEATS = f"""WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS a FROM documents),
 p AS (SELECT doc_id, len(a) AS n, unnest(a) AS word, generate_subscripts(a, 1) AS i FROM w),
 s AS (SELECT doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS s FROM p),
 f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS d0 FROM s WHERE i + 49 <= n) WHERE d0 < doc_id),
-g AS (SELECT p.doc_id, p.i, p.word, bool_or(f.i IS NOT NULL) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.i = p.i)
-SELECT d.doc_id, count(g.i) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(g.word, ' ' ORDER BY g.i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY 1"""
+g AS (SELECT p.doc_id, p.i, p.word, bool_or(f.i IS NOT NULL) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.i = p.i),
+{_longer()},
+x AS (SELECT doc_id, max(level) AS longest_level FROM later GROUP BY 1)
+SELECT d.doc_id, count(g.i) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(g.word, ' ' ORDER BY g.i) FILTER (WHERE NOT gone), '')) AS kept_sha256, coalesce(any_value(x.longest_level), 0) AS longest_level
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id GROUP BY 1"""
 
 ASSIGN = r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
 KINDS = [("assign", ASSIGN, f"length(regexp_extract(m, '{ASSIGN}', 1)) >= 6"), ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"), ("hex", "[0-9a-f]{24,}", "true"), ("pem", "-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----", "true")]

@@ -1,23 +1,24 @@
 """Removal of repeated word windows, found level by level with doubled lengths.
 
-A word goes if a window of ``2 * SEED`` = 50 words covers it whose word sequence also starts in a
-document with a smaller id.  Candidates are windows repeated at 25 words alone:
-
-1. Every 50-word window picks the leftmost smallest hash among its 26 windows of 25 words, its
-   seed.  Equal windows pick equal seeds at equal places, so a 50-word window can repeat only if its
-   seed does; seeds are about one position in thirteen.
-2. Level 25: seeds seen in one document alone drop out.
-3. The 50 to 75 words around a surviving seed hold all windows that picked it.  Where that whole
-   context also starts in a smaller document, all of them repeat and the seed is settled; only the
-   context's first document goes on.
-4. Level 50: for seeds still open, each window that picked it is hashed and compared.
-5. Removed words are the union of the settled and confirmed windows.  Longer windows cannot add any:
-   a repeated window of more words consists of repeated 50-word windows.
-
-``repeat_levels`` goes on doubling from any length until no window survives, for the question how
-long the repeats of a corpus are.
-
-All comparisons are minimum aggregations by 64-bit hash followed by a join on a written table, so a
+A word goes if a window of ``WINDOW`` = 50 words covers it whose word sequence also starts in a
+document with a smaller id.  Windows are found level by level: those repeated at one length alone are
+extended to twice that length.  A level of 2 L words goes like this:
+
+1. Every window picks the leftmost smallest hash among its L + 1 windows of L words, its seed.  Equal
+   windows pick equal seeds at equal places, so a window can repeat only if its seed does.  At the first
+   level, L = 25, seeds (about one position in thirteen) seen in one document alone drop out.  At later
+   levels only windows are looked at of which every part of L words survived the level before.
+2. The 2 L to 3 L words around a surviving seed hold all windows that picked it.  Where that whole
+   context also starts in a smaller document, all of them repeat and are settled; of a context only the
+   first document goes on.
+3. For seeds still open, each window that picked it is hashed and compared.
+4. Windows that occur in two documents survive.  Levels double until none does.
+
+Removed words are the union of the windows of level 50 that also start in a smaller document.  Later levels
+cannot add any, as a longer repeated window consists of repeated 50-word windows; they give each
+document ``longest_level``, the longest length at which one of its windows also starts in a smaller one.
+
+All comparisons are minimum aggregations by 128 bits of hash followed by a join on a written table, so a
 passage that a third of the corpus shares is one combined row in the aggregate and a splittable
 side in the join.
 
@@ -35,88 +36,106 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .textvec import Words, ngrams, span_hash, word_slices
+from .textvec import Words, span_hash, word_slices
 from .workspace import Workspace, spread
 
-SEED = 25
-WINDOW = 2 * SEED
-SPAN = WINDOW - SEED + 1  # seeds of a window to choose from
-
-
-def picked(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word position of each valid window's start and of the seed it picks."""
-    n = len(w.hash)
-    if n < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    g, _ = w.ngrams(SEED)
-    at = np.arange(len(g))
-    width = 1
-    while width < SPAN:  # leftmost argmin over windows of growing width
-        step = min(width, SPAN - width)
+WINDOW = 50
+
+
+def alive_windows(w: Words, runs: list[list[tuple[int, int]] | None], length: int) -> np.ndarray:
+    """Whether each window of 2 ``length`` words lies in one row and, where a row has ``runs`` of surviving
+    starts at ``length``, all its parts of that length survived."""
+    n = len(w.hash) - 2 * length + 1
+    ok = w.row[:n] == w.row[2 * length - 1 :]
+    dead = np.zeros(len(w.hash) + 1, np.int64)
+    for r, spans in enumerate(runs):
+        if spans is not None:
+            first, last = int(w.first[r]), int(w.first[r + 1])
+            lives = np.zeros(last - first + 1, np.int64)
+            for lo, hi in spans:
+                if lo < last - first:
+                    lives[lo] += 1
+                    lives[min(hi + 1, last - first)] -= 1
+            dead[first + 1 : last + 1] = np.cumsum(lives[:-1]) == 0
+    dead = np.cumsum(dead)
+    return ok & (dead[length + 1 : length + 1 + n] == dead[:n])
+
+
+def seeds(w: Words, length: int, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the seeds of ``length`` words, and the first and last start of the windows in a row that picked each."""
+    start = np.flatnonzero(alive)
+    if not len(start):
+        return start, start, start
+    g, _ = w.ngrams(length)
+    at, width = np.arange(len(g)), 1
+    while width < length + 1:  # leftmost argmin over stretches of growing width
+        step = min(width, length + 1 - width)
         a, b = at[: len(at) - step], at[step:]
         at = np.where(g[b] < g[a], b, a)
         width += step
-    start = np.arange(len(at))
-    ok = w.row[: len(at)] == w.row[WINDOW - 1 : WINDOW - 1 + len(at)]
-    return start[ok], at[ok]
-
-
-def seeds(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seed positions, and the first and last window start that picked each."""
-    start, seed = picked(w)
-    if not len(seed):
-        return seed, seed, seed
-    new = np.r_[True, (seed[1:] != seed[:-1]) | (start[1:] != start[:-1] + 1)]
-    i = np.flatnonzero(new)
+    seed = at[start]
+    i = np.flatnonzero(np.r_[True, (seed[1:] != seed[:-1]) | (start[1:] != start[:-1] + 1)])
     return seed[i], start[i], start[np.r_[i[1:] - 1, len(start) - 1]]
 
 
-def _find_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, w in word_slices(batch.column("text"), lower=False):
-            ids = batch.column("doc_id").slice(a, b - a)
-            seed, lo, hi = seeds(w)
-            row = w.row[seed] if len(seed) else np.zeros(0, np.int64)
-            g = span_hash(w.hash, seed, seed + SEED)
-            context = span_hash(w.hash, lo, hi + WINDOW) ^ ((seed - lo).astype(np.uint64) << np.uint64(7)) ^ (hi - lo).astype(np.uint64)
-            first = w.first[row]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row)), pa.array(g.view(np.int64)), pa.array(context.view(np.int64)), pa.array((lo - first).astype(np.int32)), pa.array((hi - first).astype(np.int32)), pa.array((seed - lo).astype(np.int16))],
-                names=["doc_id", "seed", "context", "lo", "hi", "off"],
-            )
-
-
-def _find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows lo..hi of each open seed (arrays per document)."""
-    for batch in batches:
-        lo_all, hi_all = batch.column("lo").to_pylist(), batch.column("hi").to_pylist()
-        for a, b, w in word_slices(batch.column("text"), lower=False):
-            docs, hashes, starts = [], [], []
-            ids = batch.column("doc_id").slice(a, b - a).to_pylist()
-            g, _ = ngrams(w.hash, w.row, WINDOW)
-            for r, (lo, hi) in enumerate(zip(lo_all[a:b], hi_all[a:b])):
-                at = np.concatenate([np.arange(x, y + 1) for x, y in zip(lo, hi)])
-                at = at[at + WINDOW <= w.first[r + 1] - w.first[r]]
-                starts.append(at)
-                hashes.append(g[at + w.first[r]])
-                docs.append(np.full(len(at), ids[r]))
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(starts).astype(np.int32))], names=["doc_id", "window", "at"])
+def _runs(column: pa.Array) -> list[list[tuple[int, int]] | None]:
+    return [r if r is None else [(x["lo"], x["hi"]) for x in r] for r in column.to_pylist()]
+
+
+def _find_seeds(length: int, limited: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = _runs(batch.column("runs")) if limited else [None] * batch.num_rows
+            for a, b, w in word_slices(batch.column("text"), lower=False):
+                if len(w.hash) < 2 * length:
+                    continue
+                ids = batch.column("doc_id").slice(a, b - a)
+                seed, lo, hi = seeds(w, length, alive_windows(w, runs[a:b], length))
+                row = w.row[seed] if len(seed) else np.zeros(0, np.int64)
+                place = ((seed - lo).astype(np.uint64) << np.uint64(32)) ^ (hi - lo).astype(np.uint64)
+                first = w.first[row]
+                columns = [span_hash(w.hash, seed, seed + length), span_hash(w.hash, lo, hi + 2 * length) ^ place, span_hash(w.hash, lo, hi + 2 * length, second=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(row)), *[pa.array(c.view(np.int64)) for c in columns], pa.array((lo - first).astype(np.int32)), pa.array((hi - first).astype(np.int32))],
+                    names=["doc_id", "seed", "c1", "c2", "lo", "hi"],
+                )
+
+    return run
+
+
+def _find_windows(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hashes of the windows of ``length`` words that start in the ``runs``."""
+        for batch in batches:
+            runs = _runs(batch.column("runs"))
+            for a, b, w in word_slices(batch.column("text"), lower=False):
+                docs, at, ids = [], [], batch.column("doc_id").slice(a, b - a).to_pylist()
+                for r in range(b - a):
+                    here = np.concatenate([np.arange(x, y + 1) for x, y in runs[a + r]])
+                    here = here[here + length <= w.first[r + 1] - w.first[r]]
+                    at.append(here + w.first[r])
+                    docs.append(np.full(len(here), ids[r]))
+                if docs:
+                    at, row = np.concatenate(at), np.repeat(w.first[:-1], [len(d) for d in docs])
+                    hashes = [span_hash(w.hash, at, at + length, second=k) for k in (False, True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), *[pa.array(h.view(np.int64)) for h in hashes], pa.array((at - row).astype(np.int32))], names=["doc_id", "w1", "w2", "at"])
+
+    return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lo_all, hi_all = batch.column("lo").to_pylist(), batch.column("hi").to_pylist()
+        runs = _runs(batch.column("runs"))
         for a, b, w in word_slices(batch.column("text"), lower=False):
             total, removed, digests, texts = [], [], [], []
             raw = w.data.tobytes()
             for r in range(b - a):
                 i, j = int(w.first[r]), int(w.first[r + 1])
                 gone = np.zeros(j - i + 1, np.int64)
-                if lo_all[a + r]:
-                    lo, hi = np.array(lo_all[a + r]), np.array(hi_all[a + r])
+                if runs[a + r]:
+                    lo, hi = np.array(runs[a + r]).T
                     fits = hi + WINDOW <= j - i
                     np.add.at(gone, lo[fits], 1)
                     np.add.at(gone, hi[fits] + WINDOW, -1)
@@ -127,76 +146,67 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(j - i - len(s))
                 digests.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), batch.column("longest_level").slice(a, b - a), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "longest_level", "kept_text"])
+
+
+def _per_document(spans: DataFrame, having: Column | None = None) -> DataFrame:
+    """(doc_id, runs): each different run once, however many equal rows an id has; of documents that meet the aggregate ``having``."""
+    runs = spans.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"), (F.lit(True) if having is None else having).alias("wanted"))
+    return runs.where("wanted").drop("wanted")
+
+
+def _level(ws: Workspace, docs: DataFrame, runs: DataFrame | None, length: int) -> DataFrame:
+    """(doc_id, lo, hi, later): starts of windows of 2 ``length`` words that occur in two documents; ``later`` says that they also start in a smaller one."""
+    found = (docs if runs is None else docs.join(runs, "doc_id")).mapInArrow(_find_seeds(length, runs is not None), "doc_id long, seed long, c1 long, c2 long, lo int, hi int")
+    if runs is None:
+        found = ws.save(found, "seeds")
+        repeated = ws.save(found.groupBy("seed").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("seed"), "repeated")
+        found = found.join(repeated, "seed")
+    live = ws.save(found.select("doc_id", "c1", "c2", "lo", "hi"), "live")
+    first = ws.save(live.groupBy("c1", "c2").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")), "contexts")
+    split = ws.save(live.join(first, ["c1", "c2"]).select("doc_id", "lo", "hi", (F.col("doc_id") > F.col("d0")).alias("later"), (F.col("d0") < F.col("d1")).alias("shared")), "split")
+    windows = ws.save(docs.join(_per_document(split.where("not later")), "doc_id").mapInArrow(_find_windows(2 * length), "doc_id long, w1 long, w2 long, at int"), "windows")
+    least = ws.save(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("w1", "w2", "d0"), "least")
+    hits = windows.join(least, ["w1", "w2"]).select("doc_id", F.col("at").alias("lo"), F.col("at").alias("hi"), (F.col("doc_id") > F.col("d0")).alias("later"))
+    return ws.save(split.where("shared").select("doc_id", "lo", "hi", "later").unionAll(hits), f"level-{2 * length}")
+
+
+def levels(ws: Workspace, docs: DataFrame, first: int = WINDOW) -> Iterator[tuple[int, DataFrame]]:
+    """(length, surviving windows as of ``_level``) for ``first``, twice, four times ... words, until no candidate is left."""
+    if first < 2 or first % 2:
+        raise ValueError("the first length is twice that of its seeds")
+    docs = docs.where("doc_id is not null")
+    length, runs = first // 2, None
+    while True:
+        found = _level(ws, docs, runs, length)
+        length *= 2
+        yield length, found
+        # a window of twice the length holds length + 1 starts in a row
+        runs = ws.save(_per_document(found, F.max("hi") - F.min("lo") >= length), "runs")
+        if not runs.head(1):
+            return
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text for each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_words, n_removed, kept_sha256, longest_level, kept_text for each row of ``docs`` (doc_id, text)."""
     ws = Workspace(spark, "substring")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    usable = docs.where("doc_id is not null")
-    found = ws.save(usable.mapInArrow(_find_seeds, "doc_id long, seed long, context long, lo int, hi int, off short"), "seeds")
-
-    # level 25: seeds in two documents or more
-    repeated = ws.save(found.groupBy("seed").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("seed"), "repeated")
-    live = ws.save(found.join(repeated, "seed").select("doc_id", "context", "lo", "hi"), "live")
-
-    # contexts that start in a smaller document too settle all their windows
-    first = ws.save(live.groupBy("context").agg(F.min("doc_id").alias("d0")), "contexts")
-    split = ws.save(live.join(first, "context").select("doc_id", "lo", "hi", (F.col("doc_id") > F.col("d0")).alias("settled")), "split")
-
-    # level 50: the windows of the first copies of each context
-    wide = split.where("not settled").groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    windows = ws.save(usable.join(wide, "doc_id").mapInArrow(_find_windows, "doc_id long, window long, at int"), "windows")
-    least = ws.save(windows.groupBy("window").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("window", "d0"), "least")
-    hits = windows.join(least, "window").where("doc_id > d0").select("doc_id", F.col("at").alias("lo"), F.col("at").alias("hi"))
-
-    spans = split.where("settled").select("doc_id", "lo", "hi").unionAll(hits)
-    spans = spans.groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    return docs.join(spans, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-
-
-def _level(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows of ``length`` words whose two halves both survived; ``at`` null means every start."""
-        for batch in batches:
-            before = batch.column("at").to_pylist()
-            for a, b, w in word_slices(batch.column("text"), lower=False):
-                g, ok = w.ngrams(length)
-                for r in range(b - a):
-                    i, n = int(w.first[r]), int(w.first[r + 1] - w.first[r]) - length + 1
-                    if n <= 0:
-                        continue
-                    at = np.arange(n)
-                    if before[a + r] is not None:
-                        kept = np.array(before[a + r])
-                        at = np.intersect1d(kept, kept - length // 2)
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("doc_id")[a + r].as_py()] * len(at), pa.int64()), pa.array(g[i + at].view(np.int64)), pa.array(at.astype(np.int32))], names=["doc_id", "window", "at"])
-
-    return run
+    spans = longest = None
+    for length, found in levels(ws, docs):
+        reached = found.where("later").select("doc_id", F.lit(length).cast("long").alias("level"))
+        spans, longest = (found.where("later"), reached) if spans is None else (spans, longest.unionAll(reached))
+    known = _per_document(spans).join(longest.groupBy("doc_id").agg(F.max("level").alias("longest_level")), "doc_id")
+    out = docs.join(known, "doc_id", "left").withColumn("longest_level", F.coalesce("longest_level", F.lit(0).cast("long")))
+    return out.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, longest_level long, kept_text string")
 
 
 def repeat_levels(spark: SparkSession, docs: DataFrame, first: int = WINDOW) -> DataFrame:
-    """doc_id, level, n: windows of ``first``, twice, four times ... words that occur in two documents or more.
-
-    Each level hashes only windows whose halves survived the level below, until none does.
-    """
-    ws = Workspace(spark, "levels")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    found, level = [], first
-    todo = docs.withColumn("at", F.lit(None).cast("array<int>"))
-    while True:
-        windows = ws.save(todo.mapInArrow(_level(level), "doc_id long, window long, at int"), "windows")
-        many = ws.save(windows.groupBy("window").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("window"), "many")
-        kept = ws.save(windows.join(many, "window").select("doc_id", "at"), "kept")
-        found.append(kept.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(level).alias("level"), "n"))
-        if not kept.head(1):
-            break
-        todo = docs.join(kept.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "doc_id")
-        level *= 2
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
+    """doc_id, level, n: the windows of ``first``, twice, four times ... words that occur in two documents or more."""
+    out = None
+    for length, found in levels(Workspace(spark, "levels"), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), first):
+        starts = found.select("doc_id", F.explode(F.sequence("lo", "hi")).alias("at")).distinct()
+        part = starts.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(length).alias("level"), "n")
+        out = part if out is None else out.unionAll(part)
     return out
 
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 SLICE = 1 << 20
 _M64 = (1 << 64) - 1
-_P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_P, _Q, _R = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -48,7 +48,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_byte_powers, _word_powers = _Powers(_P), _Powers(_Q)
+_byte_powers, _word_powers, _second_powers = _Powers(_P), _Powers(_Q), _Powers(_R)
 
 
 @dataclass
@@ -76,15 +76,17 @@ def ngrams(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     k = len(h) - n + 1
     if k <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    up, down = _word_powers.upto(len(h))
-    c = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up, out=c[1:])
-    return mix((c[n:] - c[:-n]) * down[:k] + np.uint64(n)), row[:k] == row[n - 1 :]
+    return span_hash(h, np.arange(k), np.arange(n, n + k)), row[:k] == row[n - 1 :]
+
 
+def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+    """Hash of the words [start, end) of each span; equal to that of ngrams for equal words.
 
-def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the words [start, end) of each span; equal to that of ngrams for equal words."""
-    up, down = _word_powers.upto(len(h) + 1)
+    The ``second`` hash is independent of the first: together they are 128 bits of evidence.
+    """
+    up, down = (_second_powers if second else _word_powers).upto(len(h) + 1)
+    if second:
+        h = mix(h ^ np.uint64(_R))
     c = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * up[:-1], out=c[1:])
     return mix((c[end] - c[start]) * down[start] + (end - start).astype(np.uint64))

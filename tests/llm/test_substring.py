@@ -74,3 +74,25 @@ def test_versions_of_one_id_do_not_disturb(spark):
     rows = [(1, a), (2, a), (2, b + " " + a), (2, "short"), (3, b)]
     got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got[0] == (1, 60, 0) and got[-1] == (3, 200, 200) and (2, 1, 0) in got and len(got) == 5
+
+
+def test_longest_levels_and_repeated_rows(spark):
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 500, n)]
+    passage, rows = words(900), []
+    for i, n in enumerate((49, 50, 99, 100, 210, 399, 400, 640, 800, 900)):
+        at = int(rng.integers(0, 900 - n + 1))
+        rows += [(20 - i, " ".join(words(30) + passage[at : at + n] + words(30)))] * (40 if i in (3, 8) else 1)
+    rows.append((3, " ".join(passage)))
+    got = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in substring.remove_repeats(spark, got).collect()}
+    texts = {i: t.split() for i, t in rows}
+    want = brute(rows)
+    for i, w in texts.items():
+        longest, level = 0, 50
+        while level <= len(w):
+            smaller = {tuple(v[p : p + level]) for j, v in texts.items() if j < i for p in range(len(v) - level + 1)}
+            longest = level if any(tuple(w[p : p + level]) in smaller for p in range(len(w) - level + 1)) else longest
+            level *= 2
+        assert found[i].longest_level == longest and (found[i].n_words, found[i].n_removed, found[i].kept_sha256) == want[i]
+    assert {r.longest_level for r in found.values()} >= {0, 50, 100, 200, 400}
