@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 
 # fixed values: the characters that count as white space at the ends of a text
@@ -151,6 +153,23 @@ def graph_score(path: Column) -> Column:
     return F.when(F.coalesce(path, F.lit("")) == "", F.lit(0.5)).otherwise(F.round(F.lit(1.0) / parts + 0.05 * parts, 4))
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(c: Column | str) -> Column:
+    """Compatibility forms composed; Spark has no such function, so texts beyond ASCII, and they alone, go to Python."""
+    c = _col(c)
+    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
+def label(c: Column | str) -> Column:
+    """A document label without white space at its ends; null where nothing is left."""
+    s = strip(c)
+    return F.when(s != "", s)
+
+
 def slug(c: Column | str) -> Column:
     """Lower-case id with runs of other characters as one hyphen; null where nothing is left."""
     s = F.lower(F.regexp_replace(F.regexp_replace(strip(c), "[^A-Za-z0-9]+", "-"), "^-+|-+$", ""))
@@ -158,11 +177,8 @@ def slug(c: Column | str) -> Column:
 
 
 def file_slug(c: Column | str, limit: int = 180) -> Column:
-    """File name of safe characters, at most ``limit`` long with its extension kept.
-
-    Compatibility forms are expected to be normalised before; plain names are unaffected.
-    """
-    s = F.regexp_replace(F.regexp_replace(strip(c), "​", ""), "[^A-Za-z0-9._-]+", "-")
+    """File name of safe characters in compatibility form, at most ``limit`` long with its extension kept."""
+    s = F.regexp_replace(F.regexp_replace(strip(nfkc(c)), "​", ""), "[^A-Za-z0-9._-]+", "-")
     s = F.regexp_replace(F.regexp_replace(s, "-+", "-"), "^[-._]+|[-._]+$", "")
     s = F.when(s == "", F.lit("document")).otherwise(s)
     extension = F.regexp_extract(s, r"[^.](\.[^.]*)$", 1)

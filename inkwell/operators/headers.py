@@ -152,7 +152,8 @@ def stitch(headers: DataFrame) -> DataFrame:
 
     A fragment joins the row before if series and ordinal agree, its index is one more, and it is
     at most 40 characters or the row's merged text ends in a dash or colon.  The last test depends
-    on merges so far, hence a fold over the document's ordered headers, which are few.
+    on merges so far, hence a fold; it runs over each stretch of consecutive chunks with one series and
+    ordinal, which a window finds, and not over the document.
     """
     cols = ["chunk_index", "section_key", "ordinal", "text", "score", "level", "sentence_start", "sentence_end", "recovered"]
     row = F.struct(*[F.col(c).cast(t).alias(c) for c, t in zip(cols, ("long", "string", "long", "string", "double", "int", "long", "long", "boolean"))], F.when(F.col("chunk_id").isNotNull(), F.array("chunk_id")).otherwise(F.array().cast("array<string>")).alias("chunk_ids"))
@@ -170,7 +171,12 @@ def stitch(headers: DataFrame) -> DataFrame:
         )
         return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(done, F.array(x)))
 
-    rows = headers.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    w = Window.partitionBy("doc_id").orderBy("row")
+    last, x = F.lag("row").over(w), F.col("row")
+    goes_on = last["section_key"].eqNullSafe(x["section_key"]) & last["ordinal"].eqNullSafe(x["ordinal"]) & (x["chunk_index"] == last["chunk_index"] + 1)
+    marked = headers.select("doc_id", row.alias("row")).withColumn("begins", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    marked = marked.withColumn("stretch", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = marked.groupBy("doc_id", "stretch").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     folded = rows.select("doc_id", F.explode(F.aggregate("rows", F.array().cast(f"array<{_ROW}>"), step)).alias("r"))
     return folded.select("doc_id", "r.*")
 

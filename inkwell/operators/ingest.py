@@ -68,6 +68,15 @@ def recovered_confidence(confidence: Column, ocr: Column) -> Column:
     return F.when(ocr, F.greatest(confidence, F.lit(0.72))).otherwise(confidence)
 
 
+MAX_LABEL = 200
+
+
+def validate_labels(uploads: DataFrame) -> DataFrame:
+    """``uploads`` (doc_label, project_id, error) with both trimmed, empty ones null, and an error where a label is too long and nothing else is wrong."""
+    out = uploads.withColumns({c: X.label(c) for c in ("doc_label", "project_id")})
+    return out.withColumn("error", F.coalesce("error", F.when(F.char_length("doc_label") > MAX_LABEL, "invalid_doc_label")))
+
+
 def validate(uploads: DataFrame, allowed: tuple[str, ...] = (".pdf",), offline: tuple[str, ...] = (".txt", ".text"), max_bytes: int = MAX_BYTES) -> DataFrame:
     """``uploads`` (file_id, file_name, upload_filename, size_bytes, is_direct) plus ``error``, null where accepted.
 

@@ -65,13 +65,18 @@ def decision(total: Column, w: Weights = Weights()) -> Column:
 def parents(headers: DataFrame, order: str = "n") -> DataFrame:
     """``headers`` plus parent: the number of the closest earlier header of a smaller level.
 
-    One window with a running value per level instead of a self-join; levels above MAX_LEVEL, which
-    no numbering reaches, count as MAX_LEVEL.
+    One window with a running value per level up to MAX_LEVEL instead of a self-join; only headers deeper
+    than that, which hardly any numbering reaches, are joined with each other.
     """
-    level = F.least("level", F.lit(MAX_LEVEL))
+    level = F.col("level")
     w = Window.partitionBy("doc_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = [F.when(level > k, F.last(F.when(level == k, F.col(order)), ignorenulls=True).over(w)) for k in range(1, MAX_LEVEL)]
-    return headers.withColumn("parent", F.greatest(*seen))
+    seen = [F.when(level > k, F.last(F.when(level == k, F.col(order)), ignorenulls=True).over(w)) for k in range(1, MAX_LEVEL + 1)]
+    deep = headers.where(level > MAX_LEVEL).select(F.col("doc_id").alias("deep_doc"), F.col(order).alias("deep_at"), F.col("level").alias("deep_level"))
+    above = deep.selectExpr("deep_doc AS d", "deep_at AS above", "deep_level AS l")
+    found = deep.join(above, (F.col("deep_doc") == F.col("d")) & (F.col("above") < F.col("deep_at")) & (F.col("l") < F.col("deep_level")))
+    found = found.groupBy("deep_doc", "deep_at").agg(F.max("above").alias("above"))
+    out = headers.withColumn("parent", F.greatest(*seen)).join(found, (F.col("doc_id") == F.col("deep_doc")) & (F.col(order) == F.col("deep_at")), "left")
+    return out.withColumn("parent", F.greatest("parent", "above")).drop("deep_doc", "deep_at", "above")
 
 
 def nodes(headers: DataFrame, weights: Weights = Weights()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunk, headers, sections, tree
+from ..operators import chunk, headers, ingest, sections, tree
 from . import tables as T
 
 
@@ -56,7 +56,7 @@ def sequence_repair(spark, d):
 
 
 def _headers(spark, d):
-    s = T.series(spark, d).where("score >= 0.55")
+    s = T.series(spark, d)
     return headers.number(s).withColumn("chunk_ids", F.when(F.col("chunk_index") % 4 == 0, F.array("chunk_id", "chunk_id")).otherwise(F.array("chunk_id"))).withColumn("recovered", F.col("chunk_index") % 5 == 0)
 
 
@@ -101,6 +101,17 @@ def gap_report(spark, d):
     return g.select("doc_id", "n", "expected", "schema", F.coalesce("left", F.lit("-")).alias("left"), F.coalesce("right", F.lit("-")).alias("right"), "style_sim", "graph_adj", "confidence")
 
 
+def gap_summary(spark, d):
+    return tree.gap_report(tree.nodes(_headers(spark, d).withColumn("text", F.when(F.col("chunk_index") % 3 == 0, F.concat(F.lit("Appendix "), "text")).when(F.col("chunk_index") % 3 == 1, F.concat(F.lit("4 "), "text")).otherwise(F.concat(F.lit("B4 "), "text"))))).select("doc_id", F.array_join("schemas", ",").alias("schemas"), "holes")
+
+
+def label_validation(spark, d):
+    o, k = T.table(spark, d, "orders"), F.col("o_orderkey")
+    name = F.when(k % 7 == 0, F.concat(F.lit(" \u3000 "), "o_orderstatus", F.lit("\t"))).when(k % 7 == 1, " \n ").when(k % 7 == 2, F.concat(F.lit(" "), F.repeat(F.lit("é"), F.lit(199) + (k % 4).cast("int")))).when(k % 7 < 6, F.col("o_orderstatus"))
+    u = o.select(k.alias("upload_id"), name.alias("doc_label"), F.when(k % 3 == 0, F.concat(F.lit("\t"), "o_orderpriority")).when(k % 3 == 1, "").alias("project_id"), F.when(k % 11 == 0, "too_large").alias("error"))
+    return ingest.validate_labels(u).select("upload_id", F.coalesce("doc_label", F.lit("-")).alias("doc_label"), F.coalesce("project_id", F.lit("-")).alias("project_id"), F.coalesce("error", F.lit("ok")).alias("outcome"))
+
+
 def audit_documents(spark, d):
     n = tree.nodes(_headers(spark, d).withColumn("text", F.concat("text", F.lit(" <&>"))))
     md, page, xml = tree.audit_markdown(n), tree.audit_html(n), tree.junit(n)
@@ -108,14 +119,14 @@ def audit_documents(spark, d):
     return rows.select("doc_id", "kind", F.size(X.lines("value")).alias("n_lines"), F.sha2("value", 256).alias("value_sha"))
 
 
-QUERIES = {f.__name__: f for f in (header_candidates, header_base_score, header_series_key, header_viable, header_trim, header_typo_boost, header_stitch, header_dedupe, sequence_repair, section_assign, section_text, section_map, header_tree, header_components, header_decision, gap_report, audit_documents)}
+QUERIES = {f.__name__: f for f in (header_candidates, header_base_score, header_series_key, header_viable, header_trim, header_typo_boost, header_stitch, header_dedupe, sequence_repair, section_assign, section_text, section_map, header_tree, header_components, header_decision, gap_report, gap_summary, label_validation, audit_documents)}
 
 UP, LET = r"length(regexp_replace({0}, '[^\p{{Lu}}]', '', 'g'))", r"length(regexp_replace({0}, '[^\p{{L}}]', '', 'g'))"
 UP, LET = UP.replace("{{", "{").replace("}}", "}"), LET.replace("{{", "{").replace("}}", "}")
 up, let = UP.replace("{0}", "text"), LET.replace("{0}", "text")
 NTOK = r"len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))"
 HEADERS = f"""{T.SERIES},
-hd AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, sentence_start, coalesce(ordinal, 0)) AS n, chunk_index % 5 = 0 AS rec, CASE WHEN chunk_index % 4 = 0 THEN 2 ELSE 1 END AS nc FROM series WHERE score >= 0.55),
+hd AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, sentence_start, coalesce(ordinal, 0)) AS n, chunk_index % 5 = 0 AS rec, CASE WHEN chunk_index % 4 = 0 THEN 2 ELSE 1 END AS nc FROM series),
 ck AS (SELECT user_id AS doc_id, 'k' || event_id AS chunk_id, event_id * 3 + event_id % 4 - 1 AS pos, event_type FROM events),
 asg AS (SELECT ck.doc_id, ck.chunk_id, ck.pos, ck.event_type, coalesce(arg_max(hd.n, hd.chunk_index) FILTER (WHERE hd.sentence_start <= ck.pos), arg_min(hd.n, hd.chunk_index)) AS n FROM ck JOIN hd ON hd.doc_id = ck.doc_id GROUP BY 1, 2, 3, 4)"""
 SCORED = rf"""sh AS (SELECT *, CASE WHEN regexp_matches(text, '^\d') THEN 'numeric' WHEN regexp_matches(text, '(?i)^appendix\s+[a-z]') THEN 'appendix' WHEN regexp_matches(text, '^[A-Z]\d') THEN 'letter_numeric' END AS sch, {NTOK} AS tok FROM tx),
@@ -164,5 +175,8 @@ SELECT doc_id, chunk_id, section_key, ordinal, score, pro AS recovered FROM s UN
     "header_tree": f"WITH {HEADERS} SELECT a.doc_id, 'header:' || a.doc_id || ':' || a.n AS node_id, 'header:' || a.doc_id || ':' || max(b.n) AS parent_id, a.level FROM hd a LEFT JOIN hd b ON b.doc_id = a.doc_id AND b.n < a.n AND b.level < a.level GROUP BY a.doc_id, a.n, a.level",
     "header_components": f"WITH {HEADERS}, {T.TITLES}, tx AS (SELECT hd.doc_id, hd.n, hd.level, hd.nc, titles.text FROM hd JOIN titles ON titles.doc_id = hd.chunk_index), {SCORED} SELECT 'header:' || doc_id || ':' || n AS node_id, text, regex, style, entropy, graph, fluid, llm_vote, total, coalesce(sch, 'none') AS schema, CASE WHEN total < 0.5 THEN 'reject' WHEN total < 0.65 THEN 'promote.subheader' ELSE 'promote.header' END AS decision, nc > 1 AS joined FROM sc",
     "header_decision": f"WITH {T.SERIES} SELECT chunk_id, CASE WHEN score < 0.5 THEN 'reject' WHEN score < 0.65 THEN 'promote.subheader' ELSE 'promote.header' END AS decision FROM series",
+    "gap_summary": f"WITH {HEADERS}, z AS (SELECT *, CASE chunk_index % 3 WHEN 0 THEN 'appendix' WHEN 1 THEN 'numeric' ELSE 'letter_numeric' END AS sch FROM hd) SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list(sch) FILTER (WHERE rec))), ','), 'numeric') AS schemas, count(*) FILTER (WHERE rec) AS holes FROM z GROUP BY 1",
+    "label_validation": """WITH u AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus WHEN o_orderkey % 7 = 2 THEN repeat('é', 199 + o_orderkey % 4) WHEN o_orderkey % 7 IN (3, 4, 5) THEN o_orderstatus END AS l, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS p FROM orders)
+SELECT k AS upload_id, coalesce(l, '-') AS doc_label, coalesce(p, '-') AS project_id, CASE WHEN k % 11 = 0 THEN 'too_large' WHEN length(l) > 200 THEN 'invalid_doc_label' ELSE 'ok' END AS outcome FROM u""",
     "gap_report": f"WITH {HEADERS}, tx AS (SELECT * FROM hd), {SCORED}, lr AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY n) l, lead(text) OVER (PARTITION BY doc_id ORDER BY n) r FROM sc) SELECT doc_id, n, text AS expected, coalesce(sch, 'numeric') AS schema, coalesce(l, '-') AS \"left\", coalesce(r, '-') AS \"right\", round(least(nc, 4) * 0.05::DOUBLE + 0.7::DOUBLE, 2) AS style_sim, CASE WHEN coalesce(sch, 'numeric') <> 'numeric' THEN 0.8 ELSE 0.7 END::DOUBLE AS graph_adj, round(least(0.99::DOUBLE, total / 2.0::DOUBLE), 2) AS confidence FROM lr WHERE rec",
 }

@@ -139,7 +139,7 @@ def upload_validation(spark, d):
 
 
 def filename_slug(spark, d):
-    return T.titles(spark, d).select("doc_id", X.file_slug(F.concat(F.lit(" .."), "text", F.lit(".v2/plan (1).pdf"))).alias("slug"), X.slug("text").alias("id_slug"))
+    return T.titles(spark, d).select("doc_id", X.file_slug(F.concat(F.lit(" ..Ｐｌａｎ①ﬁ e\u0301"), "text", F.lit(".v2/plan (1).pdf"))).alias("slug"), X.slug("text").alias("id_slug"))
 
 
 def double_extension(spark, d):
@@ -249,7 +249,7 @@ WHEN direct AND up = 'b.doc' THEN 'unsupported_extension' WHEN direct THEN 'ok'
 WHEN coalesce(fid, '') = '' AND coalesce(name, '') = '' THEN 'no_handle' WHEN fid IS NOT NULL AND trim(fid) = '' THEN 'blank_file_id' WHEN trim(fid) LIKE '% %' THEN 'space_in_file_id' WHEN name IS NULL THEN 'ok'
 WHEN trim(name) = '' THEN 'blank_file_name' WHEN name LIKE '%//%' THEN 'remote' WHEN name = '../a.pdf' THEN 'traversal' WHEN size IS NULL THEN 'missing'
 WHEN NOT (lower(name) LIKE '%.pdf' OR lower(name) LIKE '%.txt') THEN 'unsupported_extension' WHEN size > 52428800 THEN 'too_large' ELSE 'ok' END AS outcome FROM u""",
-    "filename_slug": rf"WITH {T.TITLES} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(' ..' || text || '.v2/plan (1).pdf', '[^A-Za-z0-9._-]+', '-', 'g'), '-+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS slug, lower(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS id_slug FROM titles",
+    "filename_slug": rf"WITH {T.TITLES} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(' ..Plan1fi é' || text || '.v2/plan (1).pdf', '[^A-Za-z0-9._-]+', '-', 'g'), '-+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS slug, lower(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS id_slug FROM titles",
     "double_extension": "SELECT o_orderkey, o_orderkey % 4 IN (0, 2) AS rejected FROM orders",
     "mime_sniff": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'application/pdf' ELSE 'rejected' END AS mime FROM documents",
     "checksum_dedupe": "WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents), o AS (SELECT *, min(doc_id) OVER (PARTITION BY sha256) AS owner FROM h) SELECT doc_id, sha256, CASE WHEN doc_id = owner THEN 'new' ELSE 'duplicate' END AS status, owner FROM o",

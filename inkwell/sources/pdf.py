@@ -1,12 +1,13 @@
 """PDF payloads to pages of blocks, with whatever extractors are installed, else as text.
 
-Extractors run in order of confidence; the first that neither fails nor finds nothing wins, and the
-text reading of ``operators.ingest`` is the last resort.  None of the PDF libraries is required.
+Extractors run in order of confidence; the first that does not fail wins, whatever it finds, and reading
+the payload as text is the last resort.  None of the PDF libraries is required.
 """
 
 from __future__ import annotations
 
 import importlib
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -62,23 +63,34 @@ def _pdfminer(data: bytes) -> Iterator[tuple]:
                 yield number, 1.0, box.get_text().strip(), box.bbox, "unknown", 0.0, "normal", "normal", 0.6
 
 
+def _text(data: bytes) -> Iterator[tuple]:
+    """Pages at form feeds or three line feeds, blocks at two; image markers are no text."""
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        text = data.decode("latin-1")
+    for number, page in enumerate(re.split(r"\f|\n{3,}", text), 1):
+        for block in re.split(r"\n{2,}", re.sub(r"(?i)\[image:[^\]]+\]", "", page).strip()):
+            if block := block.strip():
+                # fixed values: the type of plain text and its confidence
+                yield number, 1.0, block, (0.0, 0.0, 1.0, 1.0), "SourceSans", 12.0, "normal", "normal", 0.8
+
+
 EXTRACTORS: list[tuple[str, Callable[[bytes], Iterator[tuple]]]] = [("fitz", _fitz), ("pdfplumber", _pdfplumber), ("pdfminer", _pdfminer)]
 
 
 def cascade(data: bytes, extractors=None) -> tuple[str, list[tuple]]:
-    """(name, blocks) of the first extractor that finds something; ("text", []) if none does."""
+    """(name, blocks) of the first extractor that does not fail, the payload as text being the last."""
     for name, run in extractors if extractors is not None else EXTRACTORS:
         try:
-            found = list(run(data))
+            return name, list(run(data))
         except Exception:  # a missing library or a damaged file: the next one tries
             continue
-        if found:
-            return name, found
-    return "text", []
+    return "text", list(_text(data))
 
 
 def extract(files: DataFrame, extractors=None) -> DataFrame:
-    """Blocks (SCHEMA) of ``files`` (sha256, content); files no extractor reads have one row with null block columns."""
+    """Blocks (SCHEMA) of ``files`` (sha256, content); files without text have one row with null block columns."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]

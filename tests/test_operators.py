@@ -101,6 +101,17 @@ def plain_stitch(rows):
     return out
 
 
+def test_parents_at_any_depth(spark):
+    rng = random.Random(2)
+    rows = [(d, n, rng.choice([1, 2, 3, 23, 24, 25, 26, 40])) for d in range(6) for n in range(1, 60)]
+    want = {}
+    for d, n, level in rows:
+        above = [m for e, m, other in rows if e == d and m < n and other < level]
+        want[d, n] = max(above) if above else None
+    got = {(r.doc_id, r.n): r.parent for r in tree.parents(spark.createDataFrame(rows, "doc_id long, n long, level int")).collect()}
+    assert got == want and any(v is None for v in got.values())
+
+
 def test_stitch_equals_a_loop(spark):
     rng = random.Random(4)
     docs = {}

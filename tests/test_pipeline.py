@@ -32,11 +32,14 @@ def test_pdf_cascade(spark):
     def fake(data):
         yield 1, 0.5, data.decode(), (0, 1, 2, 3), "Arial", 12.0, "normal", "normal", 1.0
 
-    assert pdf.cascade(b"x", [("a", broken), ("b", empty), ("c", fake)])[0] == "c"
-    assert pdf.cascade(b"x", [("a", broken)]) == ("text", [])
-    files = spark.createDataFrame([("0123456789abcdef", bytearray(b"hello"))], "sha256 string, content binary")
-    row = pdf.extract(files, []).first()
-    assert (row.doc_id, row.extractor, row.n_pages, row.text) == ("0123456789ab", "text", 0, None)
+    assert pdf.cascade(b"x", [("a", broken), ("c", fake), ("b", empty)])[0] == "c"
+    assert pdf.cascade(b"x", [("a", broken), ("b", empty), ("c", fake)]) == ("b", [])  # it did not fail
+    assert pdf.cascade(b"[image:x] \n\n\n", [("a", broken)]) == ("text", [])
+    files = spark.createDataFrame([("0123456789abcdef", bytearray(b"hello\n\nyou\fcaf\xe9 [Image: b]")), ("fedcba9876543210", bytearray(b""))], "sha256 string, content binary")
+    rows = sorted(pdf.extract(files, []).collect(), key=str)
+    assert [(r.doc_id, r.extractor, r.n_pages, r.page_number, r.block_no, r.text, r.confidence) for r in rows] == [
+        ("0123456789ab", "text", 2, 1, 1, "hello", 0.8), ("0123456789ab", "text", 2, 1, 2, "you", 0.8), ("0123456789ab", "text", 2, 2, 1, "café", 0.8), ("fedcba987654", "text", 0, None, None, None, None),
+    ]
 
 
 def test_retries_and_breaker():
