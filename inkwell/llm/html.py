@@ -15,8 +15,10 @@
    are names of furniture or of layout, at least one of furniture: ``ad-slot`` does, ``social-history``
    does not.
 
-Rows of equal host and html are known by one digest, by which templates come back to them.  Counts are
-combined map-side; a hot host or a hot page is no group anywhere.
+Templates are few beside the pages: up to ``BROADCAST_TEMPLATES`` they go to the second pass by broadcast,
+so that no page is shuffled.  More of them come back to pages by joins on (host, hash) and on the digest of
+host and html, with the same result.  Counts are combined map-side; a hot host or a hot page is no group
+anywhere.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 by two line feeds in page order.
@@ -37,12 +39,13 @@ from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .workspace import Workspace, spread
 
 MIN_PAGES, SHARE, MIN_INSIDE, SHARE_INSIDE = 3, 0.5, 5, 0.9
 MANY, MANY_INSIDE, LONG, SHARE_SHORT = 100, 1000, 4, 0.05
+BROADCAST_TEMPLATES = 500_000  # of eight bytes each
 
 _TOKEN = re.compile(r"""<(?:!--(.*?)(?:-->|\Z)|([!?][^>]*)>?|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z))""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -295,30 +298,40 @@ def main_text(root: Node, deleted: set[int]) -> str:
 
 
 _TREES = "page binary, host string, same long, subtrees array<struct<hash:long,inside:boolean,long:boolean>>"
-_SUBTREES = pa.list_(pa.struct([("hash", pa.int64()), ("inside", pa.bool_()), ("long", pa.bool_())]))
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct subtrees of each page, and a hash of its main text before templates go."""
     for batch in batches:
-        same, found = [], []
+        same, found, ends = [], [], [0]
         for html in batch.column("html"):
             root = parse(html.as_py())
-            found.append([dict(hash=h, inside=i, long=w) for h, i, w in sorted(set(subtrees(root).values()))])
+            found += sorted(set(subtrees(root).values()))
+            ends.append(len(found))
             text = hashlib.blake2b(main_text(root, set()).encode("utf-8", "replace"), digest_size=8).digest()
             same.append(int.from_bytes(text, "little", signed=True))
-        yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("host"), pa.array(same, pa.int64()), pa.array(found, _SUBTREES)], names=["page", "host", "same", "subtrees"])
+        columns = [pa.array(x, kind) for x, kind in zip(list(zip(*found)) or [()] * 3, (pa.int64(), pa.bool_(), pa.bool_()))]
+        trees = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["hash", "inside", "long"]))
+        yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("host"), pa.array(same, pa.int64()), trees], names=["page", "host", "same", "subtrees"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for html, removed in zip(batch.column("html"), batch.column("removed").to_pylist()):
-            root = parse(html.as_py() or "")
-            gone = set(removed or ())
-            deleted = {at for at, pair in subtrees(root).items() if pair[0] in gone} if gone else set()
-            texts.append(main_text(root, deleted))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+def _page_texts(templates: dict[str, frozenset[int]] | None):
+    """Texts of pages without the templates of their host, or without the ``removed`` ones of each page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if templates is None:
+                removed = [set(x or ()) for x in batch.column("removed").to_pylist()]
+            else:
+                removed = [templates.get(h) for h in batch.column("host").to_pylist()]
+            texts = []
+            for html, gone in zip(batch.column("html"), removed):
+                root = parse(html.as_py() or "")
+                deleted = {at for at, tree in subtrees(root).items() if tree[0] ^ tree[1] in gone} if gone else set()
+                texts.append(main_text(root, deleted))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
 def host(url):
@@ -326,26 +339,36 @@ def host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _key(hash_: Column, inside: Column) -> Column:
+    """A subtree within an article and the same one elsewhere are two."""
+    return hash_.bitwiseXOR(inside.cast("long"))
+
+
 def extract(spark: SparkSession, pages: DataFrame, templates: bool = True) -> DataFrame:
     """page_id, url, text, n_chars for each row of ``pages`` (page_id, url, html); without ``templates`` only declared furniture goes."""
     ws = Workspace(spark, "html")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     result = "page_id long, url string, text string, n_chars long"
-    if not templates:
-        return pages.withColumn("removed", F.lit(None).cast("array<long>")).mapInArrow(_texts, result)
     hosted = pages.withColumn("host", host(F.col("url"))).withColumn("page", F.unhex(F.sha2(F.concat_ws("\n", "host", "html"), 256)))
+    if not templates:
+        return hosted.select("page_id", "url", "html", "host").mapInArrow(_page_texts({}), result)
     found = ws.save(hosted.where("html <> ''").select("page", "host", "html").mapInArrow(_hashes, _TREES), "subtrees")
-    different = found.groupBy("host", "same").agg(F.min("page").alias("page"))
+    different = ws.save(found.groupBy("host", "same").agg(F.min_by("subtrees", "page").alias("subtrees")), "different")
     sizes = different.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    # one row for each distinct page; equal rows hold equal subtrees
-    once = ws.save(found.groupBy("page").agg(F.any_value("host").alias("host"), F.any_value("subtrees").alias("subtrees")), "once")
-    each = once.select("page", "host", F.explode("subtrees").alias("t")).select("page", "host", "t.*")
-    counted = each.join(different.select("page"), "page", "left_semi").groupBy("host", "hash", "inside", "long").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("inside"), F.lit(MIN_INSIDE)).otherwise(F.lit(MIN_PAGES)))
+    counted = different.select("host", F.explode("subtrees").alias("t")).groupBy("host", "t.hash", "t.inside", "t.long").agg(F.count("*").alias("n"))
+    counted = counted.where(F.col("n") >= F.when(F.col("inside"), F.lit(MIN_INSIDE)).otherwise(F.lit(MIN_PAGES)))
     share = F.when(F.col("inside"), F.lit(SHARE_INSIDE)).otherwise(F.lit(SHARE))
     many = (F.col("n") >= F.when(F.col("inside"), F.lit(MANY_INSIDE)).otherwise(F.lit(MANY))) & (F.col("long") | (F.col("n") >= SHARE_SHORT * F.col("pages")))
-    chosen = ws.save(counted.join(sizes, "host").where((F.col("n") >= share * F.col("pages")) | many).select("host", "hash", "inside"), "templates")
-    removed = each.join(chosen, ["host", "hash", "inside"]).groupBy("page").agg(F.collect_set("hash").alias("removed"))
-    return hosted.join(ws.save(removed, "removed"), "page", "left").select("page_id", "url", "html", "removed").mapInArrow(_texts, result)
+    chosen = ws.save(counted.join(sizes, "host").where((F.col("n") >= share * F.col("pages")) | many).select("host", _key(F.col("hash"), F.col("inside")).alias("hash")).distinct(), "templates")
+    if chosen.count() <= BROADCAST_TEMPLATES:
+        of: dict[str, set[int]] = {}
+        for r in chosen.collect():
+            of.setdefault(r.host, set()).add(r.hash)
+        return hosted.select("page_id", "url", "html", "host").mapInArrow(_page_texts({h: frozenset(x) for h, x in of.items()}), result)
+    once = found.groupBy("page").agg(F.any_value("host").alias("host"), F.any_value("subtrees").alias("subtrees"))  # equal pages hold equal subtrees
+    each = once.select("page", "host", F.explode("subtrees").alias("t")).select("page", "host", _key(F.col("t.hash"), F.col("t.inside")).alias("hash")).distinct()
+    removed = ws.save(each.join(chosen, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("removed")), "removed")
+    return hosted.join(removed, "page", "left").select("page_id", "url", "html", "removed").mapInArrow(_page_texts(None), result)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,12 @@ def smallest_keys(spark: SparkSession, rows: DataFrame, group: str, sample: int)
     chosen: dict[str, list] = {}
     wanted = {name: 2.0 * sample / n for name, n in sizes.items()}
     while wanted:  # a share of twice the sample holds it all but surely; where not, the share grows
-        limits = spark.createDataFrame([(name, int(min(1.0, share) * _RANGE)) for name, share in wanted.items()], f"{group} string, most long")
-        part = keys.join(F.broadcast(limits), group).where(F.pmod("key", F.lit(_RANGE)) < F.col("most")).select(group, "key")
+        limits = {name: int(min(1.0, share) * _RANGE) for name, share in wanted.items()}
+        if len(sizes) == 1:
+            part = keys.where(F.pmod("key", F.lit(_RANGE)) < next(iter(limits.values())))
+        else:
+            most = spark.createDataFrame(list(limits.items()), f"{group} string, most long")
+            part = keys.join(F.broadcast(most), group).where(F.pmod("key", F.lit(_RANGE)) < F.col("most")).select(group, "key")
         found: dict[str, list] = {name: [] for name in wanted}
         for r in part.collect():
             found[r[0]].append((r.key % _RANGE, r.key))

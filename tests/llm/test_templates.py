@@ -75,3 +75,10 @@ def test_all_articles_and_undeclared_names():
 def test_an_article_is_no_template():
     found = html.subtrees(html.parse("<body><div><section><article><p>x</p></article></section></div><div><p>y</p></div></body>"))
     assert sum(inside for _, inside, _ in found.values()) == 1 and len(found) == 3
+
+
+def test_joined_templates_equal_broadcast_ones(spark, monkeypatch):
+    rows = [(i, f"http://{'ab'[i % 2]}.org/{i % 9}", body(i // 2)) for i in range(30)] * 2 + [(99, None, None)]
+    want = got(spark, [(i or 0, u or "", h) for i, u, h in rows])
+    monkeypatch.setattr(html, "BROADCAST_TEMPLATES", -1)
+    assert got(spark, [(i or 0, u or "", h) for i, u, h in rows]) == want and any(t == "Text 3" for _, _, t, _ in want)
