@@ -33,9 +33,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .textvec import Words, span_hash, word_slices
@@ -44,22 +46,39 @@ from .workspace import Workspace, spread
 WINDOW = 50
 
 
-def alive_windows(w: Words, runs: list[list[tuple[int, int]] | None], length: int) -> np.ndarray:
-    """Whether each window of 2 ``length`` words lies in one row and, where a row has ``runs`` of surviving
-    starts at ``length``, all its parts of that length survived."""
+@dataclass
+class Runs:
+    """Runs lo to hi (both included) of window starts, as flat arrays; those of row r lie at ends[r] to ends[r + 1]."""
+
+    lo: np.ndarray
+    hi: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Runs:
+        lists = [batch.column(c) for c in ("lo", "hi")]
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists[0]), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        return cls(*(x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists), ends)
+
+    def placed(self, w: Words, a: int, b: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of rows a to b - 1, which are those of ``w``, as word positions in ``w``; a run is cut to the windows of ``length`` words that its row has."""
+        i, j = self.ends[a], self.ends[b]
+        row = np.repeat(np.arange(b - a), np.diff(self.ends[a : b + 1]))
+        lo, hi = self.lo[i:j] + w.first[row], np.minimum(self.hi[i:j] + w.first[row], w.first[row + 1] - length)
+        return lo[lo <= hi], hi[lo <= hi]
+
+
+def alive_windows(w: Words, runs: tuple[np.ndarray, np.ndarray] | None, length: int) -> np.ndarray:
+    """Whether each window of 2 ``length`` words lies in one row and, if ``runs`` of surviving starts at
+    ``length`` are given, all its parts of that length survived."""
     n = len(w.hash) - 2 * length + 1
     ok = w.row[:n] == w.row[2 * length - 1 :]
-    dead = np.zeros(len(w.hash) + 1, np.int64)
-    for r, spans in enumerate(runs):
-        if spans is not None:
-            first, last = int(w.first[r]), int(w.first[r + 1])
-            lives = np.zeros(last - first + 1, np.int64)
-            for lo, hi in spans:
-                if lo < last - first:
-                    lives[lo] += 1
-                    lives[min(hi + 1, last - first)] -= 1
-            dead[first + 1 : last + 1] = np.cumsum(lives[:-1]) == 0
-    dead = np.cumsum(dead)
+    if runs is None:
+        return ok
+    lives = np.zeros(len(w.hash) + 1, np.int64)
+    np.add.at(lives, runs[0], 1)
+    np.add.at(lives, runs[1] + 1, -1)
+    dead = np.concatenate([[0], np.cumsum(np.cumsum(lives[:-1]) == 0)])
     return ok & (dead[length + 1 : length + 1 + n] == dead[:n])
 
 
@@ -80,19 +99,15 @@ def seeds(w: Words, length: int, alive: np.ndarray) -> tuple[np.ndarray, np.ndar
     return seed[i], start[i], start[np.r_[i[1:] - 1, len(start) - 1]]
 
 
-def _runs(column: pa.Array) -> list[list[tuple[int, int]] | None]:
-    return [r if r is None else [(x["lo"], x["hi"]) for x in r] for r in column.to_pylist()]
-
-
 def _find_seeds(length: int, limited: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = _runs(batch.column("runs")) if limited else [None] * batch.num_rows
+            runs = Runs.of(batch) if limited else None
             for a, b, w in word_slices(batch.column("text"), lower=False):
                 if len(w.hash) < 2 * length:
                     continue
                 ids = batch.column("doc_id").slice(a, b - a)
-                seed, lo, hi = seeds(w, length, alive_windows(w, runs[a:b], length))
+                seed, lo, hi = seeds(w, length, alive_windows(w, runs and runs.placed(w, a, b, length), length))
                 row = w.row[seed] if len(seed) else np.zeros(0, np.int64)
                 place = ((seed - lo).astype(np.uint64) << np.uint64(32)) ^ (hi - lo).astype(np.uint64)
                 first = w.first[row]
@@ -107,40 +122,34 @@ def _find_seeds(length: int, limited: bool):
 
 def _find_windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes of the windows of ``length`` words that start in the ``runs``."""
+        """Hashes of the windows of ``length`` words that start in the runs."""
         for batch in batches:
-            runs = _runs(batch.column("runs"))
+            runs = Runs.of(batch)
             for a, b, w in word_slices(batch.column("text"), lower=False):
-                docs, at, ids = [], [], batch.column("doc_id").slice(a, b - a).to_pylist()
-                for r in range(b - a):
-                    here = np.concatenate([np.arange(x, y + 1) for x, y in runs[a + r]])
-                    here = here[here + length <= w.first[r + 1] - w.first[r]]
-                    at.append(here + w.first[r])
-                    docs.append(np.full(len(here), ids[r]))
-                if docs:
-                    at, row = np.concatenate(at), np.repeat(w.first[:-1], [len(d) for d in docs])
-                    hashes = [span_hash(w.hash, at, at + length, second=k) for k in (False, True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), *[pa.array(h.view(np.int64)) for h in hashes], pa.array((at - row).astype(np.int32))], names=["doc_id", "w1", "w2", "at"])
+                lo, hi = runs.placed(w, a, b, length)
+                n = hi - lo + 1
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                row = w.row[at] if len(at) else at
+                hashes = [span_hash(w.hash, at, at + length, second=k) for k in (False, True)]
+                ids = batch.column("doc_id").slice(a, b - a).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(h.view(np.int64)) for h in hashes], pa.array((at - w.first[row]).astype(np.int32))], names=["doc_id", "w1", "w2", "at"])
 
     return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        runs = _runs(batch.column("runs"))
+        runs = Runs.of(batch)
         for a, b, w in word_slices(batch.column("text"), lower=False):
             total, removed, digests, texts = [], [], [], []
             raw = w.data.tobytes()
-            for r in range(b - a):
-                i, j = int(w.first[r]), int(w.first[r + 1])
-                gone = np.zeros(j - i + 1, np.int64)
-                if runs[a + r]:
-                    lo, hi = np.array(runs[a + r]).T
-                    fits = hi + WINDOW <= j - i
-                    np.add.at(gone, lo[fits], 1)
-                    np.add.at(gone, hi[fits] + WINDOW, -1)
-                keep = np.cumsum(gone[:-1]) == 0
-                s, e = w.start[i:j][keep].tolist(), w.end[i:j][keep].tolist()
+            gone = np.zeros(len(w.hash) + 1, np.int64)
+            lo, hi = runs.placed(w, a, b, WINDOW)
+            np.add.at(gone, lo, 1)
+            np.add.at(gone, hi + WINDOW, -1)
+            keep = np.cumsum(gone[:-1]) == 0
+            for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+                s, e = w.start[i:j][keep[i:j]].tolist(), w.end[i:j][keep[i:j]].tolist()
                 kept = b" ".join([raw[x:y] for x, y in zip(s, e)])
                 total.append(j - i)
                 removed.append(j - i - len(s))
@@ -150,9 +159,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _per_document(spans: DataFrame, having: Column | None = None) -> DataFrame:
-    """(doc_id, runs): each different run once, however many equal rows an id has; of documents that meet the aggregate ``having``."""
+    """(doc_id, lo, hi): arrays of each different run, once however many equal rows an id has; of documents that meet the aggregate ``having``."""
     runs = spans.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"), (F.lit(True) if having is None else having).alias("wanted"))
-    return runs.where("wanted").drop("wanted")
+    return runs.where("wanted").select("doc_id", F.col("runs.lo").alias("lo"), F.col("runs.hi").alias("hi"))
 
 
 def _level(ws: Workspace, docs: DataFrame, runs: DataFrame | None, length: int) -> DataFrame:
