@@ -30,7 +30,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .workspace import small_batches, spread
+from .workspace import released, small_batches, spread
 
 ERROR_RATE = 0.05
 SHORT = 20
@@ -148,6 +148,7 @@ def _matcher(items: tuple[tuple[int | None, str], ...], error_rate: float) -> Ma
 
 
 def _finder(items: tuple[tuple[int | None, str], ...], error_rate: float):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(items, error_rate)
         for batch in batches:
@@ -189,6 +190,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, error_rate: fl
 
 
 def _keeper(items: tuple[tuple[int | None, str], ...], error_rate: float):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(items, error_rate)
         for batch in batches:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .sampling import smallest_keys
 from .textvec import buffers, slices
-from .workspace import small_batches, spread
+from .workspace import released, small_batches, spread
 
 FEATURES = 1 << 15
 SLICE = 1 << 18  # bytes of text whose n-grams are in memory at once
@@ -125,6 +125,7 @@ def rows_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
             yield ids, counts[ids], bool(lettered[r])
 
 
+@released
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(FEATURES, np.int64), 0
     for batch in batches:
@@ -148,6 +149,7 @@ def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "df"])
 
 
+@released
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, counts = [], []
@@ -256,6 +258,7 @@ def _predictor(model: Model | None):
     if model is not None:
         model = Model(model.langs, model.idf, model.weights.astype(np.float32), model.bias, model.temperature)
 
+    @released
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], []

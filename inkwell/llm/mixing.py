@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .textvec import _WS, buffers, slices
-from .workspace import Workspace, spread
+from .workspace import Workspace, released, spread
 
 BLOCK = 64
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -46,6 +46,7 @@ COPIES = 1024  # rows that one row is unfolded to
 _DRAWN = 10**9  # the generator draws from fewer slots than this
 
 
+@released
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffers(batch.column("text"))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import connected_components
 from .textvec import mix, shingle_sets, word_slices
-from .workspace import Workspace, spread
+from .workspace import Workspace, released, spread
 
 SHINGLE, NUM, DEN = 5, 75, 100
 REGISTERS, ROWS = 128, 4
@@ -108,6 +108,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (lo + hi) / 2
 
 
+@released
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, w in word_slices(batch.column(1), lower=True):
@@ -120,6 +121,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@released
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, w in word_slices(batch.column("text"), lower=True, target=1 << 18):
@@ -128,6 +130,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("rep").slice(a, b - a), *[pa.array(packed[:, i]) for i in range(WORDS)]], names=["rep", *[f"s{i}" for i in range(WORDS)]])
 
 
+@released
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -136,6 +139,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(estimate(a, b, na, nb) >= NUM / DEN - SLACK)).select(["a", "b"])
 
 
+@released
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 512):

@@ -34,7 +34,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .workspace import Workspace, spread
+from .workspace import Workspace, released, spread
 
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -102,6 +102,7 @@ def find_spans(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, in
 def _scanner(rules: tuple[Rule, ...]):
     rank = {r.key: k for k, r in enumerate(rules)}
 
+    @released
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -176,6 +177,7 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> s
     return "".join(out) + text[last:]
 
 
+@released
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t if t is None or not f else redact(t, [(x["start"], x["end"]) for x in f]) for t, f in zip(batch.column("text").to_pylist(), batch.column("findings").to_pylist())]

@@ -10,14 +10,19 @@ other machines.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 _local_root: dict[str, str] = {}
 
 
@@ -57,6 +62,21 @@ def spread(table: DataFrame, key: str) -> DataFrame:
     return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A pass whose worker hands freed memory back when a task ends, as workers live on and their peaks would add up."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return inner
+
+
 class Workspace:
     """One folder of intermediate tables; removed when the Python process ends."""
 
