@@ -124,7 +124,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @released
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, w in word_slices(batch.column("text"), lower=True, target=1 << 18):
+        for a, b, w in word_slices(batch.column("text"), lower=True):
             h = minima(*shingle_sets(w, SHINGLE), FINE)
             packed = np.packbits((mix(h.view(np.uint64)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("rep").slice(a, b - a), *[pa.array(packed[:, i]) for i in range(WORDS)]], names=["rep", *[f"s{i}" for i in range(WORDS)]])
