@@ -40,29 +40,30 @@ def per_domain(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.inline(every))
 
 
-def queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(d, QUERY.format(d)) for d in PROMPTS], "domain string, query string")
-
-
 def retrieve(spark: SparkSession, chunks: DataFrame) -> DataFrame:
     """Ranked chunks per (doc_id, domain); each document's chunks are the corpus.
 
     ``chunks`` is (doc_id, idx from 0, chunk_id, text, token_count, sentence_start, sentence_end,
-    header_path).  At most HITS sparse and HITS dense hits are fused, then re-ranked with the flow,
+    header_path), which is read once and shuffled once, by document.  At most HITS sparse and HITS dense hits are fused, then re-ranked with the flow,
     energy and graph scores.
     """
-    sparse = search.grouped_bm25(chunks, queries(spark))
-    vectors = per_domain(chunks.select("doc_id", "idx", X.digest_embedding("text").alias("v")))
-    dense = vectors.select("doc_id", "domain", "idx", X.cosine(F.col("v"), F.col("query_vector")).alias("score"))
-    group, best = ["doc_id", "domain"], [F.desc("score"), F.asc("idx")]
-    s = search.rank_by(sparse.where("score > 0"), group, HITS, best).select(*group, "idx", F.col("score").alias("sparse_score"))
-    d = search.rank_by(dense, group, HITS, best).select(*group, "idx", F.col("score").alias("dense_score"))
-    both = s.join(d, [*group, "idx"], "full_outer").na.fill(0.0, ["sparse_score", "dense_score"])
+    c = search.grouped_bm25(chunks.where("doc_id is not null and idx is not null"), [QUERY.format(d) for d in PROMPTS])
+    c = c.withColumn("flow_score", X.flow_score(F.col("token_count"), F.col("text"), F.col("sentence_start"), F.col("sentence_end")))
+    c = c.withColumn("energy_score", X.energy_score(F.col("text"))).withColumn("graph_score", X.graph_score(F.col("header_path"))).withColumn("v", X.digest_embedding("text"))
+    each = [F.struct(F.lit(d).alias("domain"), F.get("sparse", F.lit(i)).alias("sparse_score"), X.cosine(F.col("v"), X.digest_vector(QUERY.format(d))).alias("dense_score")) for i, d in enumerate(PROMPTS)]
+    rows = c.select("*", F.inline(F.array(*each))).drop("sparse", "v")
+    group = ["doc_id", "domain"]
+
+    def hit(score: str) -> Column:
+        """Whether a row is among the HITS best by a score, nulls last."""
+        return F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(score), F.asc("idx"))) <= HITS
+
+    rows = rows.withColumn("s", hit("sparse_score") & (F.col("sparse_score") > 0)).withColumn("d", hit("dense_score"))
+    both = rows.where("s or d")
+    for score, found in (("sparse_score", "s"), ("dense_score", "d")):
+        both = both.withColumn(score, F.coalesce(F.when(F.col(found), F.col(score)), F.lit(0.0))).drop(found)
     both = both.withColumn("score", 0.5 * F.col("dense_score") + 0.5 * F.col("sparse_score"))
-    both = search.rank_by(both, group, HITS, best).withColumnRenamed("rank", "fused_rank")
-    rows = both.join(chunks, ["doc_id", "idx"])
-    rows = rows.withColumn("flow_score", X.flow_score(F.col("token_count"), F.col("text"), F.col("sentence_start"), F.col("sentence_end")))
-    rows = rows.withColumn("energy_score", X.energy_score(F.col("text"))).withColumn("graph_score", X.graph_score(F.col("header_path")))
+    rows = search.rank_by(both, group, HITS, [F.desc("score"), F.asc("idx")]).withColumnRenamed("rank", "fused_rank")
     rows = rows.withColumn("total_score", F.col("score") + 0.3 * F.col("flow_score") + 0.2 * F.col("energy_score") + 0.1 * F.col("graph_score"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("total_score"), "fused_rank")))
 

@@ -33,6 +33,17 @@ def idf(n: Column, df: Column) -> Column:
     return F.when(df > 0, F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))).otherwise(0.0)
 
 
+def query_words(t: Column, wanted: list[str]) -> Column:
+    """Length of the words ``t`` and the places of them among the ``wanted`` ones, in one pass."""
+    places = F.array(*[F.lit(w) for w in wanted])
+    return F.struct(F.size(t).alias("dl"), F.filter(F.transform(t, lambda w: F.array_position(places, w)), lambda p: p > 0).alias("p"))
+
+
+def times_found(i: int) -> Column:
+    """How often the word at place i was found by ``query_words``, whose result is column d."""
+    return F.size(F.filter("d.p", lambda x: x == i + 1))
+
+
 def bm25(docs: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
     """``key``, score for every row of ``docs``; repeated query words count again.
 
@@ -40,17 +51,8 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
     query's words into a single row, a scalar subquery; the other scores each document in place.
     """
     wanted = Counter(query.lower().split())
-    places = F.array(*[F.lit(w) for w in wanted])
-
-    def found(t: Column) -> Column:
-        """Length of the text and the places of its words among the query's, in one pass over the words."""
-        return F.struct(F.size(t).alias("dl"), F.filter(F.transform(t, lambda w: F.array_position(places, w)), lambda p: p > 0).alias("p"))
-
-    def count(i: int) -> Column:
-        return F.size(F.filter("d.p", lambda x: x == i + 1))
-
-    tokens = docs.select(key, X.let(X.tokens(F.coalesce("text", F.lit(""))), found).alias("d"))
-    counted = tokens.select(key, F.col("d.dl").alias("dl"), *[count(i).alias(f"tf{i}") for i in range(len(wanted))])
+    tokens = docs.select(key, X.let(X.tokens(F.coalesce("text", F.lit(""))), lambda t: query_words(t, list(wanted))).alias("d"))
+    counted = tokens.select(key, F.col("d.dl").alias("dl"), *[times_found(i).alias(f"tf{i}") for i in range(len(wanted))])
     stats = counted.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     one = stats.select(F.struct("*")).scalar()
     avgdl = F.when(one["total"] == 0, 1.0).otherwise(one["total"].cast("double")) / F.greatest(one["n"], F.lit(1))
@@ -92,21 +94,26 @@ def payload_hits(hits: DataFrame, payloads: DataFrame, key: str) -> DataFrame:
     return hits.join(payloads, key, "left")
 
 
-def grouped_bm25(chunks: DataFrame, queries: DataFrame, group: str = "doc_id") -> DataFrame:
-    """group, domain, idx, score: each group is a corpus of its own; queries are (domain, query), a handful.
+def grouped_bm25(chunks: DataFrame, queries: list[str], group: str = "doc_id") -> DataFrame:
+    """``chunks`` with sparse: the scores of the queries, a handful, in turn; each group is a corpus of its own.
 
-    Words of chunks meet words of queries by an equi-join; lengths and frequencies are aggregates
-    per group, so no group is gathered.
+    The queries' words are counted in place; numbers, lengths and frequencies of a group are windows
+    over one shuffle, so no word of a chunk becomes a row.
     """
-    t = chunks.select(group, "idx", X.tokens("text").alias("t"))
-    lengths = t.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.size("t")).alias("total"))
-    words = queries.select("domain", F.explode(F.split(F.lower("query"), r"\s+")).alias("term")).groupBy("domain", "term").agg(F.count("*").alias("times"))
-    hits = t.select(group, "idx", F.size("t").alias("dl"), F.explode("t").alias("term")).join(F.broadcast(words.select("term").distinct()), "term", "left_semi").groupBy(group, "idx", "dl", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy(group, "term").agg(F.count("*").alias("df"))
-    rows = hits.join(df, [group, "term"]).join(lengths, group).join(F.broadcast(words), "term")
+    each = [Counter(q.lower().split()) for q in queries]
+    wanted = list(dict.fromkeys(w for q in each for w in q))
+    w = Window.partitionBy(group)
+    rows = chunks.withColumn("d", X.let(X.tokens("text"), lambda t: query_words(t, wanted)))
+    rows = rows.withColumn("tf", F.array(*[times_found(i) for i in range(len(wanted))]))
+    rows = rows.withColumn("n", F.count("*").over(w)).withColumn("total", F.sum("d.dl").over(w)).withColumn("df", F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0).over(w) for i in range(len(wanted))]))
     avgdl = F.when(F.col("total") == 0, 1.0).otherwise(F.col("total").cast("double")) / F.col("n")
-    part = F.col("times") * idf(F.col("n"), F.col("df")) * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * (F.col("dl") / avgdl))))
-    return rows.groupBy(group, "domain", "idx").agg(F.sum(part).alias("score"))
+
+    def part(word: str) -> Column:
+        f, df = (F.get(c, F.lit(wanted.index(word))) for c in ("tf", "df"))
+        return F.when(f > 0, idf(F.col("n"), df) * (f * (K1 + 1) / (f + K1 * (1 - B + B * (F.col("d.dl") / avgdl))))).otherwise(0.0)
+
+    scores = [sum((times * part(word) for word, times in q.items()), F.lit(0.0)) for q in each]
+    return rows.withColumn("sparse", F.array(*scores)).drop("d", "tf", "n", "total", "df")
 
 
 def rank_by(scored: DataFrame, group: list[str], k: int | Column, order: list[Column]) -> DataFrame:
