@@ -6,7 +6,7 @@ from inkwell.plans import registry
 
 from .test_oracles import canonical, duck  # noqa: F401
 
-FILTERS = {"postings": ("tf > 1", " HAVING count(*) > 1")}
+FILTERS = {"postings": ("tf > 1", " HAVING count(*) > 1"), "pass_citations": ("doc_id % 5 = 0", " AND doc_id % 5 = 0")}
 
 
 @pytest.mark.parametrize("name", sorted(FILTERS))
