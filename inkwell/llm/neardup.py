@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import connected_components
 from .textvec import mix, shingle_sets, word_slices
-from .workspace import Workspace, released, spread
+from .workspace import Workspace, released, sifted, spread
 
 SHINGLE, NUM, DEN = 5, 75, 100
 REGISTERS, ROWS = 128, 4
@@ -158,8 +158,8 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(ws: Workspace, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, text) of the ids ``wanted``, each different version once."""
-    return ws.save(docs.join(wanted, "doc_id", "left_semi").distinct(), "texts")
+    """(doc_id, text) of the different ids ``wanted``, a written table, with its other columns; each different version once."""
+    return ws.save(sifted(docs, wanted, "doc_id").join(wanted, "doc_id").distinct(), "texts")
 
 
 def _check(ws: Workspace, pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -167,8 +167,10 @@ def _check(ws: Workspace, pairs: DataFrame, reps: DataFrame, docs: DataFrame) ->
     r = reps.select("rep", "n", "regs")
     joined = pairs.join(r.toDF("a", "na", "ra"), "a").join(r.toDF("b", "nb", "rb"), "b").where(f"least(na, nb) * {DEN} >= greatest(na, nb) * {NUM}")
     likely = ws.save(joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a long, b long").distinct(), "likely")
-    texts = _texts(ws, docs, likely.select(F.col("a").alias("doc_id")).unionAll(likely.select("b")).distinct())
-    full = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    ends = likely.select(F.col("a").alias("doc_id"), F.lit(True).alias("is_a")).unionAll(likely.select("b", F.lit(False)))
+    wanted = ws.save(ends.groupBy("doc_id").agg(F.max("is_a").alias("is_a"), F.max(~F.col("is_a")).alias("is_b")), "wanted")
+    texts = _texts(ws, docs, wanted)
+    full = likely.join(texts.where("is_a").select("doc_id", "text").toDF("a", "ta"), "a").join(texts.where("is_b").select("doc_id", "text").toDF("b", "tb"), "b")
     return ws.save(full.select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a long, b long").distinct(), "links")
 
 
@@ -183,7 +185,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     keys = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {ROWS} + 1, {ROWS})))")
     bands = reps.select("rep", "n", F.posexplode(keys).alias("band", "key"))
     buckets = ws.save(bands.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("k")).where("k > 1"), "buckets")
-    first = ws.save(bands.join(buckets, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    shared = ws.save(bands.join(buckets, "key"), "shared")
+    first = ws.save(shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
     links = _check(ws, first, reps, docs)
     # versions of one id are one document
     known = ws.save(sig.select("doc_id", "n_shingles", "digest").join(reps.select("digest", "rep"), "digest", "left").select("doc_id", "n_shingles", "rep"), "known")
@@ -191,7 +194,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     links = links.unionAll(known.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
     comp = ws.save(connected_components(ws, links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
-    members = bands.join(buckets.where("k > 2").select("key"), "key").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    members = shared.where("k > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     members = ws.save(members.select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("c")), "members")
     mixed = members.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("main"), F.count("*").alias("cs")).where("cs > 1")
     mixed = ws.save(mixed.select("key", F.col("main.c").alias("main")), "mixed")
