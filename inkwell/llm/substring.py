@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .textvec import Words, span_hash, word_slices
-from .workspace import Workspace, spread
+from .workspace import Workspace, released, sifted, spread
 
 WINDOW = 50
 
@@ -100,6 +100,7 @@ def seeds(w: Words, length: int, alive: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _find_seeds(length: int, limited: bool):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = Runs.of(batch) if limited else None
@@ -121,6 +122,7 @@ def _find_seeds(length: int, limited: bool):
 
 
 def _find_windows(length: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Hashes of the windows of ``length`` words that start in the runs."""
         for batch in batches:
@@ -137,6 +139,7 @@ def _find_windows(length: int):
     return run
 
 
+@released
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         runs = Runs.of(batch)
@@ -166,6 +169,7 @@ def _per_document(spans: DataFrame, having: Column | None = None) -> DataFrame:
 
 def _level(ws: Workspace, docs: DataFrame, runs: DataFrame | None, length: int) -> DataFrame:
     """(doc_id, lo, hi, later): starts of windows of 2 ``length`` words that occur in two documents; ``later`` says that they also start in a smaller one."""
+    docs = docs if runs is None else sifted(docs, runs, "doc_id")
     found = (docs if runs is None else docs.join(runs, "doc_id")).mapInArrow(_find_seeds(length, runs is not None), "doc_id long, seed long, c1 long, c2 long, lo int, hi int")
     if runs is None:
         found = ws.save(found, "seeds")

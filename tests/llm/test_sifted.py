@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from inkwell.llm import neardup, workspace
+from inkwell.llm import neardup, substring, workspace
 
 
 def test_sieve_keeps_what_is_wanted_and_little_else(spark):
@@ -35,3 +35,21 @@ def _shuffled(spark):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_levels_shuffle_only_documents_with_repeats(spark):
+    """Two documents share 230 words; the others go through no shuffle of the levels after the first."""
+    alone = spark.range(2000).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 60), i -> concat(id, '-', i)), ' ')").alias("text"))
+    same = spark.range(2).select((F.col("id") + 5000).alias("doc_id"), F.expr("array_join(transform(sequence(1, 230), i -> concat('s', i)), ' ')").alias("text"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for many documents with repeats
+    try:
+        ws = workspace.Workspace(spark, "test")
+        docs, written = ws.save(alone.unionAll(same)), []
+        for length, found in substring.levels(ws, docs):
+            assert {r.doc_id for r in found.select("doc_id").collect()} <= {5000, 5001}
+            written.append((length, _shuffled(spark)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert [length for length, _ in written] == [50, 100, 200]
+    assert written[-1][1] - written[0][1] < 2000
